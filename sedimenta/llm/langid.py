@@ -8,6 +8,7 @@ whole text wins; the score is its share of the likelihood.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -102,7 +103,7 @@ def fit(train: DataFrame, sample_rows: int = 20_000, most_words: int = 150_000,
     gram_size = np.stack([gram_counts[length == k].sum(axis=0) if (length == k).any() else np.ones(len(langs)) for k in range(1, _LONGEST + 1)]) if langs else np.ones((_LONGEST, 0))
     gram_scores = np.log((gram_counts + 0.1) / (gram_size[length - 1] + 0.1 * (len(gram_names) + 1))) if len(gram_names) else gram_counts
     drop_table(train.sparkSession, path)
-    return {"langs": langs, "words": dict(zip(names, scores.astype(np.float32))), "grams": dict(zip(gram_names, gram_scores.astype(np.float32)))}
+    return {"langs": langs, "words": names, "word_scores": scores.astype(np.float32), "grams": gram_names, "gram_scores": gram_scores.astype(np.float32)}
 
 
 class Scorer:
@@ -111,23 +112,39 @@ class Scorer:
     MOST = 1 << 20
 
     def __init__(self, model: dict):
-        self.model, self.langs = model, model["langs"]
+        self.langs = model["langs"]
+        self.words, self.word_scores = {w: k for k, w in enumerate(model["words"])}, model["word_scores"]
+        self.grams, self.gram_scores = {g: k for k, g in enumerate(model["grams"])}, model["gram_scores"]
         self._forget()
 
     def _forget(self):
         self.table, self.known = Table(), 0
         self.scores = np.zeros((1 << 14, len(self.langs)), np.float32)
 
-    def word(self, w: str) -> np.ndarray:
-        if (s := self.model["words"].get(w)) is not None:
-            return s
-        if len(w) > 200:  # its n-grams are the same in any order
-            w = w[:200]
-        known = self.model["grams"]
-        for n in range(_LONGEST, 0, -1):
-            if found := [known[g] for g in grams(w, n) if g in known]:
-                return np.mean(found, axis=0)
-        return np.zeros(len(self.langs), np.float32)
+    def learn(self, words: list[str]) -> np.ndarray:
+        """The scores of distinct words: their own, else the mean of their longest known n-grams, else 0."""
+        out = np.zeros((len(words), len(self.langs)), np.float32)
+        own: tuple[list[int], list[int]] = ([], [])
+        parts: tuple[list[int], list[int], list[int]] = ([], [], [])
+        known = self.grams.get
+        for i, w in enumerate(words):
+            if (k := self.words.get(w)) is not None:
+                own[0].append(i)
+                own[1].append(k)
+                continue
+            w = f"<{w}>"
+            for n in range(_LONGEST, 0, -1):
+                found = [g for at in range(len(w) - n + 1) if (g := known(w[at : at + n])) is not None]
+                if found:
+                    parts[0].append(i)
+                    parts[1].append(len(parts[2]))
+                    parts[2].extend(found)
+                    break
+        out[own[0]] = self.word_scores[own[1]]
+        if parts[0]:
+            count = np.diff(np.append(parts[1], len(parts[2])))
+            out[parts[0]] = np.add.reduceat(self.gram_scores[parts[2]], parts[1], axis=0) / count[:, None]
+        return out
 
     def _rows(self, h: np.ndarray, some) -> np.ndarray:
         rows = self.table.find(h)
@@ -139,8 +156,7 @@ class Scorer:
                 return self._rows(h, some)
             while self.known + len(new) > len(self.scores):
                 self.scores = np.concatenate((self.scores, np.zeros_like(self.scores)))
-            for k, w in enumerate(some(missing[at])):
-                self.scores[self.known + k] = self.word(w)
+            self.scores[self.known : self.known + len(new)] = self.learn(some(missing[at]))
             self.table.add(new, np.arange(self.known, self.known + len(new)))
             self.known += len(new)
             rows[missing] = self.table.find(h[missing])
@@ -166,6 +182,10 @@ class Scorer:
         return lang, score
 
 
+#: The scorers of this process, by the model's name; one model is in use at a time.
+_scorers: dict[str, Scorer] = {}
+
+
 def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) of every row: null texts, texts without a letter and a model without languages give ``und`` and 0.
 
@@ -173,9 +193,13 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
     """
     # At most most_words + most_grams entries, however large the input.
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    name = uuid.uuid4().hex
 
     def run(batches):
-        scorer = Scorer(shared.value)
+        if name not in _scorers:
+            _scorers.clear()
+            _scorers[name] = Scorer(shared.value)
+        scorer = _scorers[name]
         for batch in batches:
             lang, score = scorer.predict([t or "" for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["id", "lang_pred", "score"])

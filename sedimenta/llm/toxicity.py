@@ -188,7 +188,7 @@ def fit(labelled: DataFrame, sample_rows: int = 20_000, candidates: int = 4000,
     lexicon = dict(seed_lexicon or {})
     if names:
         has = choose.mapInArrow(present, "label int, found array<int>").collect()
-        lexicon |= {names[k]: weight[names[k]] for k in _cover([(r["label"], r["found"]) for r in has], [len(x) for x in names], entries, least)}
+        lexicon |= {names[k]: weight[names[k]] for k in _cover([(r["label"], r["found"]) for r in has], names, entries, least)}
     matcher_args = (lexicon, list(exceptions))
 
     def measure(batches):
@@ -204,8 +204,11 @@ def fit(labelled: DataFrame, sample_rows: int = 20_000, candidates: int = 4000,
     return {"lexicon": lexicon, "exceptions": list(exceptions), "calibration": fit_logistic(x, np.array([r["label"] for r in got]))}
 
 
-def _cover(rows: list[tuple[int, list[int]]], lengths: list[int], most: int, least: int) -> list[int]:
-    """Entries by what they add: a toxic row counts half as much for each entry that has found it before; clean rows count against."""
+def _cover(rows: list[tuple[int, list[int]]], names: list[str], most: int, least: int) -> list[int]:
+    """Entries by what they add: a toxic row counts half as much for each entry that has found it before; clean rows count against.
+
+    Of an entry and its own beginning the second counts for nothing in the rows of the first.
+    """
     toxic = [found for y, found in rows if y]
     holders: dict[int, list[int]] = {}
     for k, found in enumerate(toxic):
@@ -218,8 +221,9 @@ def _cover(rows: list[tuple[int, list[int]]], lengths: list[int], most: int, lea
     chosen: list[int] = []
     gain = {e: float(len(k)) for e, k in holders.items()}
     while gain and len(chosen) < most:
-        # Gains only fall, so the best by its last known gain is looked at again first; longer entries win ties.
-        best = max(gain, key=lambda e: (round(gain[e] - clean[e] * max(ratio, 0.05) * 2, 6), lengths[e], -e))
+        # Gains only fall, so the best by its last known gain is looked at again first. A longer entry wins over
+        # one that finds little more, as beginnings of words are more often found in harmless ones.
+        best = max(gain, key=lambda e: ((gain[e] - clean[e] * max(ratio, 0.05) * 2) * (1 + 0.01 * len(names[e])), -e))
         now = float(worth[holders[best]].sum())
         if now < gain[best] - 1e-9:
             gain[best] = now
@@ -229,6 +233,9 @@ def _cover(rows: list[tuple[int, list[int]]], lengths: list[int], most: int, lea
         chosen.append(best)
         worth[holders[best]] *= 0.5
         del gain[best]
+        for e in gain:
+            if names[best].startswith(names[e]) or names[e].startswith(names[best]):
+                holders[e] = np.setdiff1d(holders[e], holders[best], assume_unique=True)
     return chosen
 
 
