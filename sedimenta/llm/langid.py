@@ -93,7 +93,7 @@ def fit(train: DataFrame, sample_rows: int = 20_000, most_words: int = 150_000,
         found: dict[str, list] = {}
         for r in top:
             found.setdefault(r["gram"], [0] * len(langs))[langs.index(r["lang"])] = r["n"]
-        return list(found), np.array(list(found.values()), float).reshape(-1, len(langs))
+        return list(found), np.array(list(found.values()), float).reshape(len(found), len(langs))
 
     names, counts = table(words, most_words, 2)
     size = np.array([totals[x][0] for x in langs], float)
