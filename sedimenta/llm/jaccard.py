@@ -4,14 +4,17 @@ A document is the set of its distinct word shingles, kept as a sorted array of 6
 hashes. Sizes are banded, and only sets of one band or of neighbouring bands can link.
 
 1. Within a tile (a band with the sizes that reach into it) two linked sets differ in at
-   most k shingles, so of k + 1 parts that the hash space is cut into, one part is equal in
-   both. Each set gives one signature a part; equal signatures name candidates. This loses
-   no link. A signature's documents are tied to the smallest of them only, never paired.
-2. Candidates that hang together form a cluster; its sets are brought together once, in
-   tiles of bounded size. A tile compares hashed bitmaps: |A| + |B| minus the bits in which
-   they differ bounds twice the overlap from above. Only pairs that the bound lets pass
-   and that aren't connected yet get the exact intersection of their sorted arrays.
-3. Connected components of the links that were found.
+   most k shingles. The hash space is cut into parts; a set with shingles in more than k of
+   them shares such a part, unchanged, with any set that it links to. Each set gives one
+   signature for each part that it has shingles in (and, if those are k or fewer, for the
+   others too). Sets with an equal signature may link; this loses no link.
+2. Sets of one signature are compared by hashed bitmaps: |A| + |B| minus the bits in which
+   they differ bounds twice the overlap from above. What the bound lets pass is tied together,
+   as a tree and not as pairs; a signature of very many sets ties them all without a look.
+3. Sets that hang together form a cluster; its sorted arrays are brought together once, in
+   tiles of bounded size. Only pairs within the bound that aren't connected yet get the exact
+   intersection.
+4. Connected components of the links that were found.
 
 Equal sets are collapsed before, so a large group of copies is one set.
 """
@@ -62,6 +65,14 @@ def shingle_sets(column: pa.Array, words: int):
                 yield np.empty(0, U64)
 
 
+def _parts(size: int, differ: int) -> int:
+    """So many parts that a set of ``size`` has shingles in more than ``differ`` of them, mostly."""
+    parts = differ + 1
+    while parts < 2 * size and parts * (1 - np.exp(-size / parts)) < differ + 1 + np.sqrt(differ) / 2:
+        parts += max(1, parts // 16)
+    return parts
+
+
 class Bands:
     """Size bands for a similarity of num / den or more, and the parts that each band's tile needs."""
 
@@ -73,7 +84,8 @@ class Bands:
             self.low.append(max(low + 1, -(-low * den * den // (num * num))))
         # The smaller set has at most low[b + 1] - 1 shingles, the larger at most 1 / similarity times as many.
         self.reach = [(x - 1) * den // num for x in self.low[1:]]
-        self.parts = [(x - 1 + y) * (den - num) // (den + num) + 1 for x, y in zip(self.low[1:], self.reach)]
+        self.differ = [(x - 1 + y) * (den - num) // (den + num) for x, y in zip(self.low[1:], self.reach)]
+        self.parts = [_parts(low, k) for low, k in zip(self.low, self.differ)]
 
     def tiles(self, n: int) -> list[int]:
         """The tiles that a set of n shingles belongs to: its own band's, and the lower one's if that reaches it."""
@@ -82,7 +94,7 @@ class Bands:
 
 
 def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
-    """One hash for each part of each tile of a sorted set: equal hashes for equal parts."""
+    """One hash for each part of each tile that a sorted set has shingles in, or for all if those are too few to be sure."""
     out, mixed = [], mix(s ^ U64(0x5851F42D4C957F2D))
     for t in bands.tiles(len(s)):
         parts = bands.parts[t]
@@ -90,10 +102,46 @@ def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
         sums = np.zeros(parts, U64)
         at = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
         sums[part[at].astype(np.int64)] = np.add.reduceat(mixed, at)
-        out.append(mix(sums + mix(np.arange(parts, dtype=U64) + U64(t << 32))))
+        names = mix(sums + mix(np.arange(parts, dtype=U64) + U64(t << 32)))
+        out.append(names[part[at].astype(np.int64)] if len(at) > bands.differ[t] else names)
     return np.concatenate(out).view(np.int64)
 
 
+def bitmap(s: np.ndarray) -> bytes:
+    """A set's hashed bitmap, about two bits a shingle; a power of two wide, so that it can be folded to half."""
+    width = 256
+    while width < 2 * len(s) and width < 1 << 15:
+        width *= 2
+    bits = np.zeros(width, bool)
+    bits[(s % U64(width)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
+
+
+def bound_edges(key: np.ndarray, ids: np.ndarray, size: np.ndarray, bits: list[bytes], num: int, den: int) -> np.ndarray:
+    """Trees (rows of two ids) that tie the sets of each key whose bitmaps allow a link; sets of different keys aren't tied."""
+    order = np.lexsort((size, key))
+    borders = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1], [True])))
+    out = []
+    for a, b in zip(borders[:-1], borders[1:]):
+        at = order[a:b]
+        width = min(len(bits[i]) for i in at)
+        rows = np.stack([np.bitwise_or.reduce(np.frombuffer(bits[i], np.uint8).reshape(-1, width), axis=0) for i in at]).view(U64)
+        n, root = size[at], np.arange(len(at))
+        for i in range(len(at) - 1):
+            end = np.searchsorted(n, n[i] * den // num, "right")
+            other = np.arange(i + 1, end)
+            other = other[root[other] != root[i]]
+            if len(other):
+                both = n[other] + n[i]
+                differ = np.bitwise_count(rows[other] ^ rows[i]).sum(axis=1, dtype=np.int64)
+                tied = other[(both - differ) * (num + den) >= 2 * num * both]
+                if len(tied):
+                    root[np.isin(root, root[tied])] = root[i]
+        for i in np.flatnonzero(root != np.arange(len(at))):
+            out.append((ids[at[root[i]]], ids[at[i]]))
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
 def linked_pairs(sets: list[np.ndarray], left: np.ndarray, num: int, den: int, joined=None):
     """Links that connect what is linked: a spanning forest as index pairs.
 
@@ -133,7 +181,7 @@ def linked_pairs(sets: list[np.ndarray], left: np.ndarray, num: int, den: int, j
                 root[root == root[j]] = root[i]
 
 
-def similar_groups(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, tile_shingles: int = 1 << 22, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_groups(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, tile_shingles: int = 1 << 22, most_compared: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every row of ``docs``.
 
     Two documents link when ``den * |intersection| >= num * |union|`` of their sets of ``words``-word
@@ -142,37 +190,50 @@ def similar_groups(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10,
     a null id takes part in no link and has a null component. An empty table gives no rows.
 
     ``tile_shingles`` bounds what one task holds of a cluster; larger clusters are compared tile by tile.
+    A signature of more than ``most_compared`` sets ties them all, so its cluster is compared in tiles.
     """
     bands = Bands(num, den)
     keep = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     def sign(batches):
         for batch in batches:
-            ids, out = batch.column(0), ([], [], [])
+            ids, out = batch.column(0), ([], [], [], [])
             lengths = []
             for s in shingle_sets(batch.column(1), words):
                 keys = signatures(s, bands) if len(s) else np.empty(0, np.int64)
                 out[0].append(len(s))
                 out[1].append(np.concatenate([s[:0], [mix(s).sum(dtype=U64), mix(s ^ U64(77)).sum(dtype=U64)]]).astype(U64).view(np.int64))
                 out[2].append(keys)
+                out[3].append(bitmap(s))
                 lengths.append(len(keys))
             if not len(ids):
                 continue
             whole = np.array(out[1]).reshape(-1, 2)
             offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
             keys = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(out[2])))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(out[0], pa.int64()), pa.array(whole[:, 0].copy()), pa.array(whole[:, 1].copy()), keys], ["id", "n", "s1", "s2", "keys"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(out[0], pa.int64()), pa.array(whole[:, 0].copy()), pa.array(whole[:, 1].copy()), keys, pa.array(out[3], pa.binary())], ["id", "n", "s1", "s2", "keys", "bits"])
 
-    signed, _ = stage_table(keep.mapInArrow(sign, "id long, n long, s1 long, s2 long, keys array<long>"), "signed")
+    signed, _ = stage_table(keep.mapInArrow(sign, "id long, n long, s1 long, s2 long, keys array<long>, bits binary"), "signed")
     sets = signed.where("n > 0 and id is not null")
     # Equal sets: one row stands for each, the smallest id.
-    unique = sets.groupBy("n", "s1", "s2").agg(F.min_by("keys", "id").alias("keys"), F.min("id").alias("id"), F.count("*").alias("copies"))
-    unique, _ = stage_table(unique.select("id", "n", "s1", "s2", "keys", "copies"), "unique")
+    unique = sets.groupBy("n", "s1", "s2").agg(F.min_by(F.struct("keys", "bits"), "id").alias("x"), F.min("id").alias("id"), F.count("*").alias("copies"))
+    unique, _ = stage_table(unique.select("id", "n", "s1", "s2", "x.keys", "x.bits", "copies"), "unique")
     copies = sets.select("id", "n", "s1", "s2").join(unique.where("copies > 1").select("n", "s1", "s2", F.col("id").alias("rep")), ["n", "s1", "s2"]).where("id <> rep").select(F.col("rep").alias("u"), F.col("id").alias("v"))
-    # A signature's first document is the hub of the others.
     keyed = unique.select("id", F.explode("keys").alias("key"))
-    hubs = keyed.withColumn("hub", F.first("id").over(Window.partitionBy("key").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)))
-    near = components(hubs.where("hub <> id").select(F.col("hub").alias("u"), F.col("id").alias("v")))
+    same = Window.partitionBy("key")
+    first = F.first("id").over(same.orderBy("id").rowsBetween(Window.unboundedPreceding, 0))
+    shared, _ = stage_table(keyed.select("key", "id", first.alias("hub"), F.count("*").over(same).alias("sets")).where("sets > 1"), "shared")
+    # A very common signature: all of its sets are tied to the first.
+    common = shared.where(F.col("sets") > most_compared).where("hub <> id").select(F.col("hub").alias("u"), F.col("id").alias("v"))
+    few = shared.where(F.col("sets") <= most_compared)
+    buckets = max(1, -(-few.count() // 8192))
+
+    def tie(table: pa.Table) -> pa.Table:
+        edges = bound_edges(*(table.column(c).to_numpy() for c in ("key", "id", "n")), table.column("bits").to_pylist(), num, den)
+        return pa.table({"u": edges[:, 0].copy(), "v": edges[:, 1].copy()})
+
+    tied = few.join(unique.select("id", "n", "bits"), "id").groupBy(F.pmod("key", F.lit(buckets)).alias("bucket")).applyInArrow(lambda t: tie(t), "u long, v long")
+    near = components(tied.unionAll(common))
     near, _ = stage_table(near.join(unique.select(F.col("id").alias("node"), "n"), "node"), "clusters")
     links = _verified(keep, near, words, num, den, tile_shingles)
     found = components(links.unionAll(copies))
