@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedimenta.llm.components import components
-from sedimenta.llm.textcore import SLICE, U64, mix, slices, span_hashes, spans
+from sedimenta.llm.textcore import SLICE, U64, lean, mix, slices, span_hashes, spans
 from sedimenta.sources.hfs import stage_table
 
 _BYTE_LOWER = np.arange(256, dtype=np.uint8)
@@ -213,7 +213,7 @@ def similar_groups(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10,
             keys = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(out[2])))
             yield pa.RecordBatch.from_arrays([ids, pa.array(out[0], pa.int64()), pa.array(whole[:, 0].copy()), pa.array(whole[:, 1].copy()), keys, pa.array(out[3], pa.binary())], ["id", "n", "s1", "s2", "keys", "bits"])
 
-    signed, _ = stage_table(keep.mapInArrow(sign, "id long, n long, s1 long, s2 long, keys array<long>, bits binary"), "signed")
+    signed, _ = stage_table(keep.mapInArrow(lean("jaccard", sign), "id long, n long, s1 long, s2 long, keys array<long>, bits binary"), "signed")
     sets = signed.where("n > 0 and id is not null")
     # Equal sets: one row stands for each, the smallest id.
     unique = sets.groupBy("n", "s1", "s2").agg(F.min_by(F.struct("keys", "bits"), "id").alias("x"), F.min("id").alias("id"), F.count("*").alias("copies"))
@@ -276,7 +276,7 @@ def _verified(keep: DataFrame, near: DataFrame, words: int, num: int, den: int,
     # The side with the clusters' few ids is hashed, so the texts aren't sorted.
     texts = keep.join(placed.hint("shuffle_hash"), keep["id"] == placed["node"]).select("node", "component", "tiles", "band", "own", "text")
     tile_type = "array<struct<b1:int,k1:int,b2:int,k2:int>>"
-    rows = texts.mapInArrow(shingled, f"node long, component long, tiles {tile_type}, band int, own int, shingles binary")
+    rows = texts.mapInArrow(lean("jaccard", shingled), f"node long, component long, tiles {tile_type}, band int, own int, shingles binary")
     rows = rows.select("node", "component", "band", "own", "shingles", F.explode("tiles").alias("t")).select("node", "component", "t.*", (F.col("band").isNull() | ((F.col("band") == F.col("t.b1")) & (F.col("own") == F.col("t.k1")))).alias("left"), "shingles")
 
     def compare(table: pa.Table) -> pa.Table:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from sedimenta.llm.sampling import bounded_sample
 from sedimenta.sources.hfs import drop_table, stage_table
-from sedimenta.llm.textcore import Table, category_table, code_points, lower_table, slices, span_hashes, spans
+from sedimenta.llm.textcore import Table, category_table, code_points, lean, lower_table, slices, span_hashes, spans
 
 _LONGEST = 5
 
@@ -204,4 +204,4 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
             lang, score = scorer.predict([t or "" for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["id", "lang_pred", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(lean("language", run), "id long, lang_pred string, score double").withColumnRenamed("id", id_col)

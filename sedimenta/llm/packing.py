@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedimenta.llm.textcore import Table, category_table, code_points, ragged, slices, span_hashes
+from sedimenta.llm.textcore import Table, category_table, code_points, held, lean, ragged, slices, span_hashes
 from sedimenta.sources.hfs import stage_table
 
 # What a byte-level pattern splits off after an apostrophe.
@@ -137,14 +137,12 @@ class Encoder:
                 yield odd[k] if k in odd else ids[border[k] : border[k + 1]]
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """This process's encoder for a vocabulary file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    known = held("packing")
+    if path not in known:
+        known[path] = Encoder(path)
+    return known[path]
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
@@ -164,7 +162,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id
                     start, piece = start + length, piece + 1
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(cut, "id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(lean("packing", cut), "id long, piece int, start long, length long, ids_crc32 long")
 
 
 def plan_places(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from sedimenta.llm.logistic import fit_logistic, logits, sigmoid
 from sedimenta.llm.sampling import bounded_sample, crc_mod
-from sedimenta.llm.textcore import category_table, code_points, slices, span_hashes, spans
+from sedimenta.llm.textcore import category_table, code_points, lean, slices, span_hashes, spans
 
 _WORD_BUCKETS, _SOURCE_BUCKETS, _LANG_BUCKETS = 64, 32, 8
 _SIGNS = "#$%&*|.,;:!?()[]{}<>=/\\\"'@-_+~^`"
@@ -150,4 +150,4 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sigmoid(z["t"])), pa.array(sigmoid(z["m"])), pa.array(p)], ["id", "text_score", "meta_score", "score"])
 
     given = docs.select(F.col(id_col).cast("long").alias("id"), "text", "source", "lang", F.col("n_chars").cast("long").alias("n_chars"))
-    return given.mapInArrow(run, "id long, text_score double, meta_score double, score double").withColumnRenamed("id", id_col)
+    return given.mapInArrow(lean("quality", run), "id long, text_score double, meta_score double, score double").withColumnRenamed("id", id_col)

@@ -9,15 +9,50 @@ about one in a million.
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 
 U64 = np.uint64
 _STEP = 0x9E3779B97F4A7C15
 #: Characters (or bytes) that are handled at once; a longer text is handled alone.
-SLICE = 1 << 20
+SLICE = 1 << 18
+
+
+_held: dict[str, dict] = {}
+
+
+def held(operator: str) -> dict:
+    """What this process keeps for an operator; worker processes are reused, so what another one left goes first."""
+    if operator not in _held:
+        _held.clear()
+        trim()
+        _held[operator] = {}
+    return _held[operator]
+
+
+def trim() -> None:
+    """Hands memory that was freed back to the system, where the allocators can."""
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back:
+        give_back(0)
+
+
+def lean(operator: str, run):
+    """``run``, from batches to batches, as a worker's function that leaves little memory behind."""
+
+    def lean_run(batches):
+        held(operator)
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return lean_run
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -19,7 +19,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from sedimenta.llm.logistic import fit_logistic, logits, sigmoid
 from sedimenta.llm.sampling import bounded_sample, crc_mod
-from sedimenta.llm.textcore import category_table, code_points, lower_table, slices, spans
+from sedimenta.llm.textcore import category_table, code_points, lean, lower_table, slices, spans
 from sedimenta.sources.hfs import drop_table, stage_table
 
 # Characters that look like a Latin letter.
@@ -174,7 +174,7 @@ def fit(labelled: DataFrame, sample_rows: int = 20_000, candidates: int = 4000,
     n1, n0 = n.get(1, 0), n.get(0, 0)
     odds = F.log((F.col("toxic") + 0.5) / F.lit(n1 + 1.0)) - F.log((F.col("clean") + 0.5) / F.lit(n0 + 1.0))
     least = max(3, n1 // 2000)
-    counted = choose.mapInArrow(count, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).withColumn("odds", odds)
+    counted = choose.mapInArrow(lean("toxicity", count), "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).withColumn("odds", odds)
     top = counted.where((F.col("toxic") >= least) & (F.col("odds") > 1.2)).withColumn("rank", F.col("odds") * F.sqrt("toxic")).orderBy(F.desc("rank"), "entry").limit(candidates).collect() if n1 and n0 else []
     weight = {r["entry"]: float(r["odds"]) for r in top}
     names = sorted(weight)
@@ -260,4 +260,4 @@ def score(docs: DataFrame, model: dict, out: str, columns: list[str], keep_below
 
     given = docs.select(*columns) if text_col in columns else docs.select(*columns, text_col)
     schema = kinds if keep_below is not None else StructType([*kinds.fields, StructField(out, DoubleType())])
-    return given.mapInArrow(run, schema)
+    return given.mapInArrow(lean("toxicity", run), schema)
