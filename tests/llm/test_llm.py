@@ -228,6 +228,34 @@ def test_mixing(spark, docs, none):
     assert mixing.taken(none).count() == 0
 
 
+def test_mixed_documents_have_each_sources_target(spark):
+    """Long documents of one source all have about one ratio: rounded alone they would all go, or all stay."""
+    rnd = random.Random(11)
+    rows = [(i, " ".join([f"w{i}"] * rnd.randrange(60, 400)), s) for s, n in (("a", 700), ("b", 300), ("c", 900), (None, 250)) for i in range(len(s or "") * 1000 + ord(s or "z") * 1000, len(s or "") * 1000 + ord(s or "z") * 1000 + n)]
+    # A hot id of many texts, and one row that is there very often.
+    rows += [(7, f"x{k} " * rnd.randrange(60, 400), "d") for k in range(400)] + [(8, "y " * 100, "e")] * 301
+    some = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    size = {(d, s, t): len(words(t)) for d, t, s in rows}
+    for weights in ((5, 2, 1), (1, 1, 1)):
+        target, ratio = {}, {}
+        own = Counter()
+        for d, t, s in rows:
+            own[s] += size[d, s, t]
+        by_size = {n: s for s, n in own.items()}
+        assert len(by_size) == len(own)
+        for r in mixing.taken(some, weights=weights, shard_docs=128).collect():
+            target[by_size[r["source_size"]]] = r["target"]
+        got, copies = Counter(), Counter()
+        for r in mixing.mixed(some, weights=weights, shard_docs=128).collect():
+            got[r["source"]] += size[r["doc_id"], r["source"], r["text"]]
+            copies[r["doc_id"], r["source"], r["text"]] += 1
+        ratio = {s: target[s] / own[s] for s in own}
+        assert any(0.1 < x < 0.9 or 1.1 < x < 1.9 for x in ratio.values())
+        assert all(abs(got[s] - target[s]) <= 0.03 * target[s] + 64 for s in own), (got, target)
+        there = Counter((d, s, t) for d, t, s in rows)
+        assert all(n <= 2 * there[k] for k, n in copies.items())
+
+
 def test_packing_places_every_token_once(spark, docs, none):
     from tokenizers import Tokenizer
 
