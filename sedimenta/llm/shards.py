@@ -75,7 +75,7 @@ class ShardStore:
         return [Shard(run, tier, f.removeprefix(self._base(f)), counts[f.rsplit("/", 1)[1]], size) for f, size in files if counts.get(f.rsplit("/", 1)[1])]
 
     def _base(self, file: str) -> str:
-        return file[: file.index("/data/") + 1]
+        return file[: file.rindex("/data/") + 1]
 
     def append(self, rows: DataFrame, arrivals: int = 1, key: str | None = None) -> int:
         """Appends ``rows`` as ``arrivals`` runs in one pass, dealt by a hash of ``key``; one version for each run. No rows add no run."""
@@ -127,8 +127,9 @@ class ShardStore:
             return self.spark.createDataFrame([], self.schema).select(*columns, *[F.lit(0).cast(t).alias(c) for c, t in (("run", "long"), ("tier", "int"), ("shard", "int"), ("shard_rows", "long"), ("version", "long"))])
         listed = self.spark.read.schema("run long, tier int, file string, rows long, bytes long").json(self.fs.join("manifest", f"v{version:012d}.json"))
         number = F.row_number().over(_by_run())
-        listed = listed.select("run", "tier", number.alias("shard"), F.col("rows").alias("shard_rows"), F.element_at(F.split("file", "/"), -1).alias("_shard_file"))
-        rows = self.read(version).select(*columns, F.col("_metadata.file_name").alias("_shard_file"))
+        listed = listed.select("run", "tier", number.alias("shard"), F.col("rows").alias("shard_rows"), F.col("file").alias("_shard_file"))
+        # By the path as the manifest lists it: all arrivals of one append have files of the same names.
+        rows = self.read(version).select(*columns, F.regexp_extract(F.col("_metadata.file_path"), "^.*/(data/.*)$", 1).alias("_shard_file"))
         return rows.join(listed, "_shard_file").select(*columns, "run", "tier", "shard", "shard_rows", F.lit(version).cast("long").alias("version"))
 
 

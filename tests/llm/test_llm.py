@@ -130,6 +130,19 @@ def test_shards_keep_every_row_and_commit_versions(spark, docs, none, tmp_path):
     assert shards.ShardStore(spark, f"file://{tmp_path}/e", docs.schema).placed("doc_id").count() == 0
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_placed_gives_each_row_of_uncompacted_arrivals_once(spark, tmp_path, hot):
+    rows = spark.range(600).select(F.when(F.lit(hot) & (F.col("id") % 3 == 0), 7).otherwise(F.col("id")).alias("doc_id"), F.col("id").alias("n"), F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    store = shards.ShardStore(spark, f"file://{tmp_path}/data/s", rows.schema, fan_in=4)
+    store.append(rows.coalesce(1), arrivals=7, key="doc_id")
+    store.compact()
+    live = store.shards()
+    assert sum(s.tier == 0 for s in live) >= 2
+    placed = store.placed("n").collect()
+    assert sorted(r["n"] for r in placed) == list(range(600))
+    assert Counter((r["run"], r["tier"], r["shard_rows"]) for r in placed) == Counter({(s.run, s.tier, s.rows): s.rows for s in live})
+
+
 def test_similar_runs():
     s = [shards.Shard(i, 0, "f", 1, n) for i, n in enumerate([10, 11, 12, 13, 100, 110, 9, 1000])]
     assert shards.similar_runs(s, 4) == [[6, 0, 1, 2]]
