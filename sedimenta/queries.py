@@ -159,6 +159,13 @@ def run_scan(spark, sf_dir):
     return _with_deletes(latest(log.where("run = 0")).orderBy("key"))
 
 
+def run_scan_every_run(spark, sf_dir):
+    """Every run's scan: the newest version of each of its keys, with the run's number."""
+    log = kvlog(spark, sf_dir)
+    newest = latest(log.withColumn("key", F.struct("run", "key"))).select("key.run", "key.key", "value", "is_tombstone")
+    return newest.orderBy("run", "key").select("run", F.col("key").alias("k"), F.col("value").alias("v"), F.col("is_tombstone").alias("deleted"))
+
+
 def run_statistics(spark, sf_dir):
     return run_stats(kvlog(spark, sf_dir), "run").select("run", "min_key", "max_key", "entries", "bytes")
 
@@ -188,6 +195,13 @@ def block_index_asof(spark, sf_dir):
     return ops.floor_index(index, probes).select("probe", F.col("key").alias("first_key"))
 
 
+def block_index_asof_every_key(spark, sf_dir):
+    """The block of every key, the index keys' own too."""
+    keys = _keys(spark, sf_dir)
+    index = keys.where(F.col("key").cast("long") % 7 == 3)
+    return ops.floor_index(index, keys.select(F.col("key").alias("probe"))).select("probe", F.col("key").alias("first_key"))
+
+
 def _changes(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     return e.select(F.col("user_id").alias("id"), F.col("event_id").alias("ord"), F.when(F.col("event_type") == "error", "delete").otherwise("create").alias("op"), (F.col("event_id") % 6).cast("int").alias("level"))
@@ -269,10 +283,12 @@ QUERIES = {
     "merge_k_way": merge_k_way,
     "merge_two_prefer_a": merge_two_prefer_a,
     "run_scan": run_scan,
+    "run_scan_every_run": run_scan_every_run,
     "run_stats": run_statistics,
     "run_prune": run_prune,
     "seek_lower_bound": seek_lower_bound,
     "block_index_asof": block_index_asof,
+    "block_index_asof_every_key": block_index_asof_every_key,
     "manifest_replay": manifest_replay,
     "level_scores": level_scores,
     "compact_inputs": compact_inputs,
@@ -329,10 +345,12 @@ ORACLES = {
     "merge_k_way": _LOG + f"select k, nullif(v, '') as v, v = '' as deleted from (select *, row_number() over (partition by k order by run % 4 desc) as best from {_PER_RUN.format(n=4)} where rn = 1) where best = 1",
     "merge_two_prefer_a": _LOG + f"select k, nullif(v, '') as v, v = '' as deleted from (select *, row_number() over (partition by k order by run % 2) as best from {_PER_RUN.format(n=2)} where rn = 1) where best = 1",
     "run_scan": _LOG + f"select k, nullif(v, '') as v, v = '' as deleted from {_PER_RUN.format(n=1000000)} where rn = 1 and run = 0",
+    "run_scan_every_run": _LOG + "select run, k, nullif(v, '') as v, v = '' as deleted from (select *, row_number() over (partition by run, k order by seq desc) as rn from kvlog) where rn = 1",
     "run_stats": _LOG + "select run, min(k) as min_key, max(k) as max_key, count(*) as entries, cast(sum(octet_length(encode(k)) + octet_length(encode(v)) + 4) as bigint) as bytes from kvlog group by run",
     "run_prune": _LOG + "select run, b, mn, mx from tables where mx >= '00000035' and mn <= '00000052'",
     "seek_lower_bound": _LOG + "select p.k || '!' as probe, min(t.k) as k from keys p join keys t on t.k >= p.k || '!' group by 1",
     "block_index_asof": _LOG + "select p.k as probe, coalesce(max(i.k), (select min(k) from keys where cast(k as bigint) % 7 = 3)) as first_key from keys p left join (select k from keys where cast(k as bigint) % 7 = 3) i on i.k <= p.k where cast(p.k as bigint) % 10 = 1 group by p.k",
+    "block_index_asof_every_key": _LOG + "select p.k as probe, coalesce(max(i.k), (select min(k) from keys where cast(k as bigint) % 7 = 3)) as first_key from keys p left join (select k from keys where cast(k as bigint) % 7 = 3) i on i.k <= p.k group by p.k",
     "manifest_replay": _LOG + "select id, level from live",
     "level_scores": _LOG + "select *, score > 1 as due from (select level, files, bytes, greatest(bytes / (100000.0::double * power(10.0::double, level)), files / power(2.0::double, level + 1)) as score from (select level, count(*) as files, cast(sum((id + 1) * 1000) as bigint) as bytes from live where level < 5 group by level))",
     "compact_inputs": _LOG + ", upper0 as (select run, mn, mx from tables where run = 0 and mn <= '00000050') select run as level, mn, mx from upper0 union all select run, mn, mx from tables where run = 1 and mx >= (select min(mn) from upper0) and mn <= (select max(mx) from upper0)",

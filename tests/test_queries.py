@@ -31,3 +31,20 @@ def test_contract(spark):
 
     assert set(QUERIES) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() == 12
+
+
+def test_whole_table_scans_and_probes(spark):
+    """Every run and every key, by brute force; sf0.01 has four runs."""
+    sf = "/root/testdata/sf0.01"
+    events = spark.read.parquet(f"{sf}/events.parquet").collect()
+    newest = {}
+    for e in sorted(events, key=lambda e: e["event_id"]):
+        gone = e["event_type"] == "error"
+        newest[e["event_id"] // 2500, f"{e['user_id']:08d}"] = (None if gone else f"{e['event_type']}:{e['event_id']}", gone)
+    got = QUERIES["run_scan_every_run"](spark, sf).collect()
+    assert len({run for run, _ in newest}) == 4
+    assert [(r["run"], r["k"], r["v"], r["deleted"]) for r in got] == [(*k, *v) for k, v in sorted(newest.items())]
+    keys = sorted({k for _, k in newest})
+    index = [k for k in keys if int(k) % 7 == 3]
+    got = QUERIES["block_index_asof_every_key"](spark, sf).collect()
+    assert sorted((r["probe"], r["first_key"]) for r in got) == [(k, max((i for i in index if i <= k), default=index[0])) for k in keys]
