@@ -102,7 +102,7 @@ def op10_quality(spark, sf_dir):
     views = docs.select("doc_id", "text", "source", "lang", "n_chars")
     labelled = labelled_rows(views, labels.where(crc_mod("doc_id", 5) != 0), "quality", POOL_ROWS)
     # Ids only are compared and sampled before the texts are read.
-    free = bounded_sample(docs.select("doc_id").join(labels.select("doc_id"), "doc_id", "left_anti"), "doc_id", POOL_ROWS).select(F.col("doc_id").alias("id"))
+    free = bounded_sample(docs.select("doc_id").where("doc_id is not null").distinct().join(labels.select("doc_id"), "doc_id", "left_anti"), "doc_id", POOL_ROWS).select(F.col("doc_id").alias("id"))
     pool = views.join(F.broadcast(free), F.col("doc_id") == F.col("id")).drop("doc_id")
     model = quality.fit(labelled, pool, POOL_ROWS, POOL_ROWS)
     scored = quality.score(docs, model)

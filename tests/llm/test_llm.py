@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sedimenta.llm import exact_dedup, hamming, jaccard, langid, mixing, packing, queries, quality, shards, toxicity, urls
 from sedimenta.llm.components import components
+from sedimenta.llm.sampling import bounded_sample, labelled_rows
 from sedimenta.llm.textcore import Table, span_hashes
 
 # A column that clashes with names that operators use.
@@ -324,6 +325,19 @@ def test_toxicity(spark, sf, docs, none):
     assert toxicity.score(docs, model, "score", docs.columns, keep_below=2.0).columns == docs.columns
 
 
+def test_samples_are_bounded_with_repeated_and_null_ids(spark):
+    n = 9000
+    key = F.when(F.col("n") % 3 == 0, F.lit(None)).when(F.col("n") % 3 == 1, F.lit(7)).otherwise(F.col("n"))
+    rows = spark.range(n).select(F.col("id").alias("n")).select(key.cast("long").alias("id"), "n")
+    for some in (rows, rows.select("id"), rows.select("id", F.lit("x").alias("text")), rows.where("id is null"), rows.where("id = 7")):
+        got = [tuple(r) for r in bounded_sample(some, "id", 900).collect()]
+        assert 1 <= len(got) <= 1100 and got == [tuple(r) for r in bounded_sample(some.repartition(5), "id", 900).collect()]
+    assert 700 <= bounded_sample(rows, "id", 900).count() and bounded_sample(rows, "id", n).count() == n
+    labels = rows.select(F.col("id").alias("doc_id"), F.lit(1).alias("toxic")).unionAll(spark.range(n).selectExpr("7 as doc_id", "1 as toxic"))
+    docs = spark.createDataFrame([(7, "a"), (7, "b"), (None, "c"), (8, "d")], "doc_id long, text string")
+    assert sorted((r["id"], r["text"], r["label"]) for r in labelled_rows(docs, labels, "toxic", n).collect()) == [(7, "a", 1), (7, "b", 1), (8, "d", 1)]
+
+
 def test_quality(spark, docs, none):
     got = {r["doc_id"]: r for r in queries.op10_quality(spark, "/root/testdata/sf0.1").where("held_out").collect()}
     labels = [(r["quality"], got[r["doc_id"]]["predicted"]) for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect() if r["doc_id"] in got]
