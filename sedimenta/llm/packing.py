@@ -73,7 +73,7 @@ def pretoken_starts(cp: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class Encoder:
     """Token ids of many texts, each distinct piece of text encoded once by the tokenizer."""
 
-    #: Pieces that are remembered before all are forgotten.
+    #: Pieces that are remembered before all are forgotten; those of the texts at hand may be more.
     MOST = 1 << 20
 
     def __init__(self, path: str):
@@ -87,8 +87,8 @@ class Encoder:
         self.table, self.known, self.used = Table(), 0, 0
         self.first, self.count, self.ids = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
 
-    def _learn(self, h: np.ndarray, words: list[str]) -> None:
-        if self.known + len(words) > self.MOST:
+    def _learn(self, h: np.ndarray, words: list[str], forget: bool = True) -> None:
+        if forget and self.known + len(words) > self.MOST:
             self._forget()
         got = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
         count = np.array([len(x) for x in got], np.int64)
@@ -127,7 +127,7 @@ class Encoder:
                     gone = np.flatnonzero(self.table.find(h) < 0)
                     if len(gone):
                         new, at = np.unique(h[gone], return_index=True)
-                        self._learn(new, [whole[starts[x] : ends[x]] for x in gone[at]])
+                        self._learn(new, [whole[starts[x] : ends[x]] for x in gone[at]], forget=False)
                 rows[missing] = self.table.find(h[missing])
             count = self.count[rows]
             ids = self.ids[ragged(self.first[rows], count)]

@@ -297,6 +297,16 @@ def test_packing_places_every_token_once(spark, docs, none):
     assert packing.pack(none, path).count() == 0
 
 
+def test_encoder_keeps_the_pieces_of_the_text_at_hand(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing.Encoder, "MOST", 6)
+    path = queries.tokenizer_path()
+    t, e = Tokenizer.from_file(path), packing.Encoder(path)
+    for text in ("a b c d e", "a b c d e f g h i j", "k l", "b k z"):
+        assert [x.tolist() for x in e.encode([text])] == [t.encode(text, add_special_tokens=False).ids]
+
+
 def test_plan_is_tight_and_whole():
     rnd = random.Random(8)
     counts = Counter(rnd.randrange(1, 1025) for _ in range(5000))
