@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedimenta.llm.textcore import Table, category_table, code_points, held, lean, ragged, slices, span_hashes
+from sedimenta.llm.textcore import Memo, category_table, code_points, held, lean, ragged, slices
 from sedimenta.sources.hfs import stage_table
 
 # What a byte-level pattern splits off after an apostrophe.
@@ -81,15 +81,14 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.memo = Memo()
         self._forget()
 
     def _forget(self) -> None:
-        self.table, self.known, self.used = Table(), 0, 0
+        self.known, self.used = 0, 0
         self.first, self.count, self.ids = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
 
-    def _learn(self, h: np.ndarray, words: list[str], forget: bool = True) -> None:
-        if forget and self.known + len(words) > self.MOST:
-            self._forget()
+    def _learn(self, words: list[str]) -> None:
         got = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
         count = np.array([len(x) for x in got], np.int64)
         flat = np.fromiter((i for x in got for i in x), np.uint32, int(count.sum()))
@@ -101,7 +100,6 @@ class Encoder:
         self.first[rows], self.count[rows] = self.used + np.cumsum(count) - count, count
         self.ids[self.used : self.used + len(flat)] = flat
         self.known, self.used = self.known + len(got), self.used + len(flat)
-        self.table.add(h, rows)
 
     def encode(self, texts: list[str]):
         """The ids of each text as an array, in order."""
@@ -114,21 +112,11 @@ class Encoder:
                 continue
             starts = np.flatnonzero(pretoken_starts(cp, offsets))
             ends = np.append(starts[1:], len(cp))
-            h = span_hashes(cp, starts, ends)
-            rows = self.table.find(h)
-            missing = np.flatnonzero(rows < 0)
-            if len(missing):
-                new, at = np.unique(h[missing], return_index=True)
-                where = missing[at]
-                known = self.known
-                self._learn(new, [whole[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist())])
-                if self.known < known + len(new):  # all was forgotten
-                    missing = np.arange(len(h))
-                    gone = np.flatnonzero(self.table.find(h) < 0)
-                    if len(gone):
-                        new, at = np.unique(h[gone], return_index=True)
-                        self._learn(new, [whole[starts[x] : ends[x]] for x in gone[at]], forget=False)
-                rows[missing] = self.table.find(h[missing])
+
+            def learn(at, whole=whole, starts=starts, ends=ends):
+                self._learn([whole[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())])
+
+            rows = self.memo.rows(cp, starts, ends, learn, self.MOST, self._forget)
             count = self.count[rows]
             ids = self.ids[ragged(self.first[rows], count)]
             tokens = np.concatenate(([0], np.cumsum(count)))

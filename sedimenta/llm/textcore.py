@@ -1,10 +1,10 @@
 """Vectorised text primitives for Python workers: spans, span hashes, hash tables.
 
 Texts of a batch are laid end to end as one array of code points (or bytes); tokens are
-found as class changes in it and hashed from one running polynomial, so the cost is a few
-array passes a character and no Python step a token. A 64-bit hash stands for a token;
-among the tokens that one worker holds (millions at most) two share one with a chance of
-about one in a million.
+found as class changes in it and hashed by array passes, with no Python step a token. A hash
+sums a mixed value of each character and its place, so no pattern of characters makes two
+tokens share one. Where a token's own result hangs on it (token ids, word scores), what was
+remembered under a hash is compared with the token's characters too (:class:`Memo`).
 """
 
 from __future__ import annotations
@@ -64,23 +64,35 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-_powers: list[np.ndarray] = []
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse modulo 2**64."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, SLICE + 1)
-        _powers[:] = [np.cumprod(np.full(size, U64(p))) * U64(pow(p, -1, 1 << 64)) for p in (_STEP, pow(_STEP, -1, 1 << 64))]
-    return _powers[0][:n], _powers[1][:n]
-
-
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each values[start:end], the same wherever the span lies."""
-    up, down = powers(len(values) + 1)
-    run = np.zeros(len(values) + 1, U64)
-    np.cumsum((values.astype(U64) + U64(1)) * up[: len(values)], out=run[1:])
-    return mix((run[ends] - run[starts]) * down[starts])
+    out = mix((ends - starts).astype(U64) * U64(_STEP))
+    first = 0
+    for last in _portions(ends - starts):
+        if last == first + 1:  # one span, however long, in pieces
+            for at in range(int(starts[first]), int(ends[first]), SLICE):
+                piece = values[at : min(at + SLICE, int(ends[first]))]
+                place = np.arange(at - int(starts[first]), at - int(starts[first]) + len(piece), dtype=U64)
+                out[first:last] += mix((piece.astype(U64) << U64(43)) | place).sum(keepdims=True, dtype=U64)
+        else:
+            n = ends[first:last] - starts[first:last]
+            at = ragged(starts[first:last], n)
+            place = (at - np.repeat(starts[first:last], n)).astype(U64)
+            some = np.flatnonzero(n)
+            if len(some):
+                out[first + some] += np.add.reduceat(mix((values[at].astype(U64) << U64(43)) | place), (np.cumsum(n) - n)[some])
+        first = last
+    return mix(out)
+
+
+def _portions(lengths: np.ndarray):
+    """Ends of portions of spans with about ``SLICE`` characters each; a longer span is a portion of its own."""
+    total = np.cumsum(lengths)
+    first, n = 0, len(lengths)
+    while first < n:
+        before = total[first - 1] if first else 0
+        first = max(first + 1, int(np.searchsorted(total, before + SLICE, "right")))
+        yield first
 
 
 def slices(lengths: list[int], limit: int = SLICE):
@@ -196,3 +208,84 @@ def ragged(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     ends = np.cumsum(count)
     total = int(ends[-1]) if len(ends) else 0
     return np.arange(total) + np.repeat(first - (ends - count), count)
+
+
+class Memo:
+    """Row numbers of distinct spans of characters: found by hash, and compared with the characters remembered."""
+
+    def __init__(self):
+        self.forget()
+
+    def forget(self) -> None:
+        self.table, self.size, self.used = Table(), 0, 0
+        self.first, self.length = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.flat = np.empty(0, np.uint32)
+        #: Spans whose hash another one has taken.
+        self.clash: dict[bytes, int] = {}
+
+    def _grow(self, name: str, n: int) -> None:
+        old = getattr(self, name)
+        if n > len(old):
+            setattr(self, name, np.concatenate((old, np.zeros(max(n - len(old), len(old)), old.dtype))))
+
+    def add(self, h: np.ndarray, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """New row numbers for spans with distinct hashes that the table doesn't have."""
+        n = ends - starts
+        rows = np.arange(self.size, self.size + len(h))
+        for name in ("first", "length"):
+            self._grow(name, self.size + len(h))
+        self._grow("flat", self.used + int(n.sum()))
+        self.first[rows], self.length[rows] = self.used + np.cumsum(n) - n, n
+        self.flat[self.used : self.used + int(n.sum())] = values[ragged(starts, n)]
+        self.size, self.used = self.size + len(h), self.used + int(n.sum())
+        self.table.add(h, rows)
+        return rows
+
+    def find(self, h: np.ndarray, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The row of each span, -1 where there is none."""
+        rows = self.table.find(h)
+        known = np.flatnonzero(rows >= 0)
+        n = (ends - starts)[known]
+        wrong = n != self.length[rows[known]]
+        same = np.flatnonzero(~wrong & (n > 0))
+        done = 0
+        for last in _portions(n[same]):
+            at, k = known[same[done:last]], n[same[done:last]]
+            differ = values[ragged(starts[at], k)] != self.flat[ragged(self.first[rows[at]], k)]
+            wrong[same[done:last]] = np.logical_or.reduceat(differ, np.cumsum(k) - k)
+            done = last
+        for i in known[wrong].tolist():
+            rows[i] = self.clash.get(values[starts[i] : ends[i]].astype("<u4").tobytes(), -1)
+        return rows
+
+    def rows(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray, learn, most: int, forget=None) -> np.ndarray:
+        """The row of each span. ``learn`` gets the index of one of each new span, whose rows follow on those there are.
+
+        When more than ``most`` would be remembered all are forgotten first, and ``forget`` is called.
+        """
+        h = span_hashes(values, starts, ends)
+        rows = self.find(h, values, starts, ends)
+        new = np.flatnonzero(rows < 0)
+        if len(new) and self.size and self.size + len(np.unique(h[new])) > most:
+            self.forget()
+            if forget:
+                forget()
+            rows[:] = -1
+            new = np.arange(len(h))
+        if len(new):
+            free = new[self.table.find(h[new]) < 0]
+            where = free[np.unique(h[free], return_index=True)[1]]
+            if len(where):
+                learn(where)
+                self.add(h[where], values, starts[where], ends[where])
+            rows[new] = self.find(h[new], values, starts[new], ends[new])
+            for i in np.flatnonzero(rows < 0).tolist():
+                text = values[starts[i] : ends[i]].astype("<u4").tobytes()
+                if text not in self.clash:
+                    learn(np.array([i]))
+                    self.clash[text] = self.size
+                    self.size += 1
+                    for name in ("first", "length"):
+                        self._grow(name, self.size)
+                rows[i] = self.clash[text]
+        return rows
