@@ -89,25 +89,43 @@ class Hfs:
 
 
 _OWN: dict[str, str] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
-    app = spark.sparkContext.applicationId
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if not given:
-        given = _OWN.get(app) or "file://" + tempfile.mkdtemp(prefix="sedimenta-")
-        if app not in _OWN:
-            _OWN[app] = given
-            atexit.register(_drop_local, given.removeprefix("file://"))
-    return f"{given.rstrip('/')}/sedimenta/{app}"
-
-
-def _drop_local(path: str) -> None:
-    import shutil
+    """This application's folder below ``spark.checkpoint.dir``, which all executors share; it goes when the application ends.
 
-    with contextlib.suppress(OSError):
-        shutil.rmtree(path)
+    Where the setting is unset, a temporary folder serves a local master only: on a cluster executors don't share one.
+    """
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        if not given:
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            given = "file://" + tempfile.mkdtemp(prefix="sedimenta-")
+        _OWN[app] = f"{given.rstrip('/')}/sedimenta/{app}"
+        atexit.register(_drop_own, Hfs(spark, _OWN[app]))
+    return _OWN[app]
+
+
+def _drop_own(folder: Hfs) -> None:
+    with contextlib.suppress(Exception):  # the JVM may have gone before
+        folder.delete(folder.root)
+
+
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """While it holds, a query's shuffle files go as soon as the query ends, not when the driver next collects garbage."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
 
 
 def stage_table(df, name: str = "t"):
@@ -117,9 +135,11 @@ def stage_table(df, name: str = "t"):
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with shuffles_dropped(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def drop_table(spark: SparkSession, path: str) -> None:
-    Hfs(spark, path).delete(path)
+def drop_table(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
+        Hfs(spark, path).delete(path)
