@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from sedimenta.sources.hfs import drop_table, stage_table
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component) for every node of ``edges`` (columns u, v: long); component is the smallest node reachable.
+def components(edges: DataFrame, max_rounds: int = 60) -> tuple[DataFrame, str]:
+    """(node, component) for every node of ``edges`` (columns u, v: long), component the smallest node reachable, and the path of its table.
 
     Null ends, loops and repeated edges are ignored; no edges give no rows.
     """
@@ -41,4 +41,4 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     # Now every node hangs on its component's smallest one.
-    return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), path
