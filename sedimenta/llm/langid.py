@@ -17,23 +17,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedimenta.llm.sampling import bounded_sample
+from sedimenta.llm.textcore import Memo, category_table, code_points, held, lean, lower_table, slices, spans
 from sedimenta.sources.hfs import drop_table, stage_table
-from sedimenta.llm.textcore import Table, category_table, code_points, lean, lower_table, slices, span_hashes, spans
 
 _LONGEST = 5
+_SCHEMA = "lang string, gram string, n long"
 
 
 def words_of(texts: list[str]):
-    """For each slice of texts: first text, its word hashes, the text of each word, and a function giving some words."""
+    """For each slice of texts: first text, last + 1, lower-cased code points, and each word's start, end and text."""
     for i, j in slices([len(t) for t in texts]):
         _, cp, offsets = code_points(texts[i:j])
         cp = lower_table()[cp]
-        starts, ends, text = spans(category_table()[cp] == 1, offsets)
-
-        def some(at, cp=cp, starts=starts, ends=ends):
-            return [cp[a:b].astype("<u4").tobytes().decode("utf-32-le") for a, b in zip(starts[at].tolist(), ends[at].tolist())]
-
-        yield i, j, span_hashes(cp, starts, ends), text, some
+        yield i, j, cp, *spans(category_table()[cp] == 1, offsets)
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -41,69 +37,86 @@ def grams(word: str, n: int) -> list[str]:
     return [w[i : i + n] for i in range(len(w) - n + 1)]
 
 
-def fit(train: DataFrame, sample_rows: int = 20_000, most_words: int = 150_000, most_grams: int = 100_000, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> dict:
+def _flush(counts: Counter):
+    keys = list(counts)
+    if keys:
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys]), pa.array(list(counts.values()), pa.int64())], ["lang", "gram", "n"])
+    counts.clear()
+
+
+def _count(batches):
+    """Each language's words and how often they occur."""
+    counts: Counter = Counter()
+    for batch in batches:
+        texts, langs = [t or "" for t in batch.column("text").to_pylist()], batch.column("lang").to_pylist()
+        names = sorted(set(langs))
+        codes = np.array([names.index(x) for x in langs], np.int64)
+        for i, _, cp, starts, ends, text in words_of(texts):
+            memo = Memo()
+            where: list[int] = []
+            rows = memo.rows(cp, starts, ends, lambda at: where.extend(at.tolist()), 1 << 62)
+            keys, n = np.unique(rows * len(names) + codes[i:][text], return_counts=True)
+            for row, code, c in zip((keys // len(names)).tolist(), (keys % len(names)).tolist(), n.tolist()):
+                counts[names[code], cp[starts[where[row]] : ends[where[row]]].astype("<u4").tobytes().decode("utf-32-le")] += c
+        if len(counts) > 300_000:
+            yield from _flush(counts)
+    yield from _flush(counts)
+
+
+def _split(batches):
+    """The n-grams of words."""
+    counts: Counter = Counter()
+    for batch in batches:
+        for lang, word, n in zip(*(c.to_pylist() for c in batch.columns)):
+            for k in range(1, _LONGEST + 1):
+                for g in grams(word, k):
+                    counts[lang, g] += n
+        if len(counts) > 300_000:
+            yield from _flush(counts)
+    yield from _flush(counts)
+
+
+def _table(counted: DataFrame, langs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All entries end to end as code points, their lengths, and their counts by language."""
+    got = counted.toArrow().sort_by([("gram", "ascending"), ("lang", "ascending")]).combine_chunks()
+    coded = got.column("gram").combine_chunks().dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    counts = np.zeros((len(names), len(langs)))
+    code = {x: k for k, x in enumerate(langs)}
+    counts[coded.indices.to_numpy(), [code[x] for x in got.column("lang").to_pylist()]] = got.column("n").to_numpy()
+    return np.frombuffer("".join(names).encode("utf-32-le"), "<u4"), np.array([len(x) for x in names], np.int64), counts
+
+
+def fit(train: DataFrame, sample_rows: int = 20_000, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> dict:
     """The model, learned from at most about ``sample_rows`` rows with a language.
 
-    Words and n-grams are counted on the executors; the driver gets the most frequent ones only,
-    at most ``most_words`` and ``most_grams``. No such rows give a model without languages.
+    Every word and n-gram of the sample is in the model, whatever its language; ``sample_rows`` alone bounds it.
+    They are counted on the executors. No such rows give a model without languages.
     """
     rows = bounded_sample(train.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")), "id", sample_rows)
-
-    def count(batches):
-        counts: Counter = Counter()
-        for batch in batches:
-            texts, langs = [t or "" for t in batch.column("text").to_pylist()], batch.column("lang").to_pylist()
-            for i, _, h, text, some in words_of(texts):
-                if not len(h):
-                    continue
-                names = sorted(set(langs))
-                code = np.array([names.index(x) for x in langs[i:]])[text].astype(np.uint64)
-                key, at, n = np.unique(h ^ (code * np.uint64(0x9E3779B97F4A7C15)), return_index=True, return_counts=True)
-                for word, lang, c in zip(some(at), code[at].tolist(), n.tolist()):
-                    counts[names[lang], word] += c
-            if len(counts) > 300_000:
-                yield from flush(counts)
-        yield from flush(counts)
-
-    def flush(counts):
-        keys = list(counts)
-        if keys:
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys]), pa.array(list(counts.values()), pa.int64())], ["lang", "gram", "n"])
-        counts.clear()
-
-    def split(batches):
-        counts: Counter = Counter()
-        for batch in batches:
-            for lang, word, n in zip(*(c.to_pylist() for c in batch.columns)):
-                for k in range(1, _LONGEST + 1):
-                    for g in grams(word, k):
-                        counts[lang, g] += n
-            if len(counts) > 300_000:
-                yield from flush(counts)
-        yield from flush(counts)
-
-    schema = "lang string, gram string, n long"
-    words, path = stage_table(rows.select("text", "lang").mapInArrow(count, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n")), "words")
-    pieces = words.mapInArrow(split, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    totals = {r["lang"]: (r["n"], r["v"]) for r in words.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
-    langs = sorted(totals)
-
-    def table(df, most, least):
-        top = df.where(F.col("n") >= least).orderBy(F.desc("n"), "gram", "lang").limit(most).collect()
-        found: dict[str, list] = {}
-        for r in top:
-            found.setdefault(r["gram"], [0] * len(langs))[langs.index(r["lang"])] = r["n"]
-        return list(found), np.array(list(found.values()), float).reshape(len(found), len(langs))
-
-    names, counts = table(words, most_words, 2)
-    size = np.array([totals[x][0] for x in langs], float)
-    scores = np.log((counts + 0.1) / (size + 0.1 * (len(names) + 1)))
-    gram_names, gram_counts = table(pieces, most_grams, 2)
-    length = np.array([len(g) for g in gram_names], int)
-    gram_size = np.stack([gram_counts[length == k].sum(axis=0) if (length == k).any() else np.ones(len(langs)) for k in range(1, _LONGEST + 1)]) if langs else np.ones((_LONGEST, 0))
-    gram_scores = np.log((gram_counts + 0.1) / (gram_size[length - 1] + 0.1 * (len(gram_names) + 1))) if len(gram_names) else gram_counts
+    words, path = stage_table(rows.select("text", "lang").mapInArrow(lean("language", _count), _SCHEMA).groupBy("lang", "gram").agg(F.sum("n").alias("n")), "words")
+    langs = sorted(r["lang"] for r in words.select("lang").distinct().collect())
+    flat, length, counts = _table(words, langs)
+    size = counts.sum(axis=0)
+    word_scores = np.log((counts + 0.1) / (size + 0.1 * (len(length) + 1)))
+    g_flat, g_length, counts = _table(words.mapInArrow(lean("language", _split), _SCHEMA).groupBy("lang", "gram").agg(F.sum("n").alias("n")), langs)
+    size = np.stack([counts[g_length == k].sum(axis=0) for k in range(1, _LONGEST + 1)])
+    gram_scores = np.log((counts + 0.1) / (size[g_length - 1] + 0.1 * (len(g_length) + 1)))
     drop_table(train.sparkSession, path)
-    return {"langs": langs, "words": names, "word_scores": scores.astype(np.float32), "grams": gram_names, "gram_scores": gram_scores.astype(np.float32)}
+    return {"langs": langs, "words": (flat, length, word_scores.astype(np.float32)), "grams": (g_flat, g_length, gram_scores.astype(np.float32))}
+
+
+class _Known:
+    """The model's entries, found by their characters."""
+
+    def __init__(self, flat: np.ndarray, length: np.ndarray, scores: np.ndarray):
+        self.memo = Memo()
+        ends = np.cumsum(length)
+        self.scores = np.zeros_like(scores)
+        self.scores[self.memo.rows(flat, ends - length, ends, lambda at: None, 1 << 62)] = scores
+
+    def find(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return self.memo.lookup(values, starts, ends)
 
 
 class Scorer:
@@ -113,63 +126,59 @@ class Scorer:
 
     def __init__(self, model: dict):
         self.langs = model["langs"]
-        self.words, self.word_scores = {w: k for k, w in enumerate(model["words"])}, model["word_scores"]
-        self.grams, self.gram_scores = {g: k for k, g in enumerate(model["grams"])}, model["gram_scores"]
+        self.words, self.grams = _Known(*model["words"]), _Known(*model["grams"])
+        self.memo = Memo()
         self._forget()
 
     def _forget(self):
-        self.table, self.known = Table(), 0
-        self.scores = np.zeros((1 << 14, len(self.langs)), np.float32)
+        self.known, self.scores = 0, np.zeros((1 << 14, len(self.langs)), np.float32)
 
-    def learn(self, words: list[str]) -> np.ndarray:
+    def score_words(self, cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The scores of distinct words: their own, else the mean of their longest known n-grams, else 0."""
-        out = np.zeros((len(words), len(self.langs)), np.float32)
-        own: tuple[list[int], list[int]] = ([], [])
-        parts: tuple[list[int], list[int], list[int]] = ([], [], [])
-        known = self.grams.get
-        for i, w in enumerate(words):
-            if (k := self.words.get(w)) is not None:
-                own[0].append(i)
-                own[1].append(k)
-                continue
-            w = f"<{w}>"
-            for n in range(_LONGEST, 0, -1):
-                found = [g for at in range(len(w) - n + 1) if (g := known(w[at : at + n])) is not None]
-                if found:
-                    parts[0].append(i)
-                    parts[1].append(len(parts[2]))
-                    parts[2].extend(found)
-                    break
-        out[own[0]] = self.word_scores[own[1]]
-        if parts[0]:
-            count = np.diff(np.append(parts[1], len(parts[2])))
-            out[parts[0]] = np.add.reduceat(self.gram_scores[parts[2]], parts[1], axis=0) / count[:, None]
+        out = np.zeros((len(starts), len(self.langs)), np.float32)
+        rows = self.words.find(cp, starts, ends)
+        out[rows >= 0] = self.words.scores[rows[rows >= 0]]
+        left = np.flatnonzero(rows < 0)
+        # Unseen words between borders, end to end.
+        n = ends[left] - starts[left] + 2
+        last = np.cumsum(n)
+        whole = np.empty(int(n.sum()), np.uint32)
+        if len(left):
+            whole[last - n], whole[last - 1] = ord("<"), ord(">")
+            inner = np.ones(len(whole), bool)
+            inner[last - n] = inner[last - 1] = False
+            whole[inner] = cp[np.concatenate([np.arange(a, b) for a, b in zip(starts[left].tolist(), ends[left].tolist())])]
+        for size in range(_LONGEST, 0, -1):
+            if not len(left):
+                break
+            many = np.maximum(n - size + 1, 0)
+            word = np.repeat(np.arange(len(left)), many)
+            at = np.arange(len(word)) - np.repeat(np.cumsum(many) - many, many) + (last - n)[word]
+            rows = self.grams.find(whole, at, at + size)
+            hit = rows >= 0
+            count = np.bincount(word[hit], minlength=len(left))
+            found = count > 0
+            for k in range(len(self.langs)):
+                sums = np.bincount(word[hit], self.grams.scores[rows[hit], k], minlength=len(left))
+                out[left[found], k] = sums[found] / count[found]
+            left, n, last = left[~found], n[~found], last[~found]
         return out
 
-    def _rows(self, h: np.ndarray, some) -> np.ndarray:
-        rows = self.table.find(h)
-        missing = np.flatnonzero(rows < 0)
-        if len(missing):
-            new, at = np.unique(h[missing], return_index=True)
-            if self.known + len(new) > self.MOST and self.known:
-                self._forget()
-                return self._rows(h, some)
-            while self.known + len(new) > len(self.scores):
-                self.scores = np.concatenate((self.scores, np.zeros_like(self.scores)))
-            self.scores[self.known : self.known + len(new)] = self.learn(some(missing[at]))
-            self.table.add(new, np.arange(self.known, self.known + len(new)))
-            self.known += len(new)
-            rows[missing] = self.table.find(h[missing])
-        return rows
-
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         lang, score = ["und"] * len(texts), [0.0] * len(texts)
         if not self.langs:
             return lang, score
-        for i, j, h, text, some in words_of(texts):
-            if not len(h):
+        for i, j, cp, starts, ends, text in words_of(texts):
+            if not len(starts):
                 continue
-            rows = self._rows(h, some)
+
+            def learn(at, cp=cp, starts=starts, ends=ends):
+                while self.known + len(at) > len(self.scores):
+                    self.scores = np.concatenate((self.scores, np.zeros_like(self.scores)))
+                self.scores[self.known : self.known + len(at)] = self.score_words(cp, starts[at], ends[at])
+                self.known += len(at)
+
+            rows = self.memo.rows(cp, starts, ends, learn, self.MOST, self._forget)
             values = self.scores[rows]
             sums = np.zeros((j - i, len(self.langs)))
             first = np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1])))
@@ -182,24 +191,21 @@ class Scorer:
         return lang, score
 
 
-#: The scorers of this process, by the model's name; one model is in use at a time.
-_scorers: dict[str, Scorer] = {}
-
-
 def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) of every row: null texts, texts without a letter and a model without languages give ``und`` and 0.
 
     Ties go to the first language by name. Repeated rows and null ids are scored like any others.
     """
-    # At most most_words + most_grams entries, however large the input.
+    # The entries of the sample that the model was fitted on, however large the input.
     shared = docs.sparkSession.sparkContext.broadcast(model)
     name = uuid.uuid4().hex
 
     def run(batches):
-        if name not in _scorers:
-            _scorers.clear()
-            _scorers[name] = Scorer(shared.value)
-        scorer = _scorers[name]
+        scorers = held("language")
+        if name not in scorers:
+            scorers.clear()
+            scorers[name] = Scorer(shared.value)
+        scorer = scorers[name]
         for batch in batches:
             lang, score = scorer.predict([t or "" for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["id", "lang_pred", "score"])

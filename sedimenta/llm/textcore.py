@@ -258,6 +258,10 @@ class Memo:
             rows[i] = self.clash.get(values[starts[i] : ends[i]].astype("<u4").tobytes(), -1)
         return rows
 
+    def lookup(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The row of each span, -1 where there is none; nothing is learned."""
+        return self.find(span_hashes(values, starts, ends), values, starts, ends)
+
     def rows(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray, learn, most: int, forget=None) -> np.ndarray:
         """The row of each span. ``learn`` gets the index of one of each new span, whose rows follow on those there are.
 
