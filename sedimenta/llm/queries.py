@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimenta.llm import exact_dedup, hamming, jaccard, langid, mixing, packing, quality, toxicity, urls
-from sedimenta.llm.sampling import bounded_sample, crc_mod, labelled_rows
+from sedimenta.llm.sampling import crc_mod, labelled_rows
 from sedimenta.llm.shards import ShardStore
 from sedimenta.sources.hfs import shared_dir, stage_table
 
 #: Rows that a classifier is fitted on, at most (about).
 FIT_ROWS = 20_000
-POOL_ROWS = 10_000
+QUALITY_ROWS = 10_000
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,14 +98,9 @@ def op9_toxicity(spark, sf_dir):
 
 def op10_quality(spark, sf_dir):
     """A quality score for every document from two co-trained views, learned where crc32(doc_id) mod 5 isn't 0."""
-    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
-    views = docs.select("doc_id", "text", "source", "lang", "n_chars")
-    labelled = labelled_rows(views, labels.where(crc_mod("doc_id", 5) != 0), "quality", POOL_ROWS)
-    # Ids only are compared and sampled before the texts are read.
-    free = bounded_sample(docs.select("doc_id").where("doc_id is not null").distinct().join(labels.select("doc_id"), "doc_id", "left_anti"), "doc_id", POOL_ROWS).select(F.col("doc_id").alias("id"))
-    pool = views.join(F.broadcast(free), F.col("doc_id") == F.col("id")).drop("doc_id")
-    model = quality.fit(labelled, pool, POOL_ROWS, POOL_ROWS)
-    scored = quality.score(docs, model)
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels").where(crc_mod("doc_id", 5) != 0)
+    table, _ = stage_table(quality.features(docs), "features")
+    scored = quality.score(table, quality.fit(table, labels, "quality", QUALITY_ROWS))
     return scored.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "text_score", "meta_score", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

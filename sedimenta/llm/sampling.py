@@ -24,12 +24,13 @@ def crc_mod(key: str, n: int):
     return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, id_col: str = "doc_id") -> DataFrame:
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, id_col: str = "doc_id", docs_id: str | None = None) -> DataFrame:
     """(id, label) joined to ``docs``' columns for about ``most`` labelled rows at most.
 
     The labels are sampled before the join: what is broadcast is bounded, and texts aren't shuffled. Null ids
-    go, and a label given to an id again counts once, so that repeated ids don't multiply.
+    go, and a label given to an id again counts once, so that repeated ids don't multiply. ``docs_id`` is the id's
+    name in ``docs`` where it isn't ``id_col``.
     """
     some = labels.where(F.col(label).isin(0, 1)).select(F.col(id_col).cast("long").alias("id"), F.col(label).cast("int").alias("label"))
     some = bounded_sample(some.where("id is not null").distinct(), "id", most)
-    return docs.withColumnRenamed(id_col, "doc_key").join(F.broadcast(some), F.col("doc_key") == F.col("id")).drop("doc_key")
+    return docs.withColumnRenamed(docs_id or id_col, "doc_key").join(F.broadcast(some), F.col("doc_key") == F.col("id")).drop("doc_key")

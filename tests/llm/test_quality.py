@@ -1,0 +1,124 @@
+"""The quality classifier: features by hand, co-training in one process, whole tables."""
+
+import unicodedata
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from sedimenta.llm import quality, queries
+from sedimenta.llm.logistic import fit_logistic, logits, sigmoid
+
+SF = "/root/testdata/sf0.01"
+TEXTS = ["", "Hello, World! # a\n\nHello\nHello", "Ünïcode 12 % %% — x", "x" * 300_000 + " y", "a a a b\nc\nc", "\n\n", "  ", "日本 語. ok?"]
+
+
+def plain_view(text):
+    kind = [{"L": 1, "N": 2}.get(unicodedata.category(c)[0], 0 if c.isspace() else 3) for c in text]
+    n = max(1, len(text))
+    words, lines = text.split(), [x for x in text.split("\n") if x]
+    w = max(1, len(words))
+    letters = "".join(c if k == 1 else " " for c, k in zip(text, kind)).split()
+    last = [({"L": 1, "N": 2}.get(unicodedata.category(x[-1])[0], 3), x[-1]) for x in words]
+    head = [kind.count(k) / n for k in range(4)] + [sum("A" <= c <= "Z" for c in text) / n, sum(ord(c) > 127 for c in text) / n, np.log1p(w), sum(map(len, words)) / w]
+    head += [sum(k == 3 and c not in ".,;:!?" for k, c in last) / w, sum(len(x) == 1 and unicodedata.category(x)[0] not in "LN" for x in words) / w, len(set(words)) / w]
+    head += [np.log1p(max(1, len(lines))), len(set(lines)) / max(1, len(lines)), text.count("\n") / n]
+    return np.array(head + [text.count(c) / n for c in quality._SIGNS]), len(letters) / w, len(set(letters))
+
+
+def test_text_view_counts_what_it_says():
+    got = quality.text_view(TEXTS)
+    for text, row in zip(TEXTS, got):
+        want, letters, distinct = plain_view(text)
+        assert row[: len(want)] == pytest.approx(want) == quality.text_view([text])[0][: len(want)]
+        assert row[len(want) :].sum() == pytest.approx(letters) and np.count_nonzero(row[len(want) :]) <= distinct
+
+
+def plain_model(rows, rounds, sure, per_round):
+    """Co-training over lists: rows are (id, h, views, label or None)."""
+    labelled = sorted((r for r in rows if r[3] is not None), key=lambda r: (r[0], r[1]))
+    pool = [r for r in rows if r[3] is None]
+    fold = np.array([zlib.crc32(str(r[0]).encode()) % 4 for r in labelled])
+    y = np.array([r[3] for r in labelled], float)
+    own, share = fold != 0, y.mean()
+    models, given = {}, {"t": [], "m": []}
+    for step in range(rounds + 1):
+        for v in ("t", "m"):
+            x = np.array([r[2][v] for r, o in zip(labelled, own) if o] + [r[2][v] for r, _ in given[v]])
+            models[v] = fit_logistic(x, np.append(y[own], [g for _, g in given[v]]), weight=np.append(np.ones(own.sum()), np.full(len(given[v]), 0.5)))
+        if step == rounds:
+            break
+        new = {}
+        for v, to in (("t", "m"), ("m", "t")):
+            p = sigmoid(logits(models[v], np.array([r[2][v] for r in pool])))
+            new[to] = []
+            for label, some in ((1, p >= sure), (0, p <= 1 - sure)):
+                wanted = max(1, round(per_round * (share if label else 1 - share)))
+                if some.sum() <= wanted:
+                    new[to] += [(pool[k], label) for k in np.flatnonzero(some)]
+                else:
+                    return None
+        for to, some in new.items():
+            have = {r[1] for r, _ in given[to]}
+            given[to] += [(r, g) for r, g in sorted(some, key=lambda x: x[0][1]) if r[1] not in have]
+    rest = ~own
+    both = {v: logits(models[v], np.array([r[2][v] for r, o in zip(labelled, rest) if o])) for v in models}
+    calibrated = {v: fit_logistic(z[:, None], y[rest]) for v, z in both.items()}
+    stacked = np.stack([logits(calibrated[v], both[v][:, None]) for v in ("t", "m")], 1)
+    return {**models, "calibrated": calibrated, "combined": fit_logistic(stacked, y[rest])}
+
+
+def test_the_query_scores_as_co_training_over_lists_does(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    table = quality.features(docs).toArrow().combine_chunks()
+    views = quality._views(table)
+    label = {r["doc_id"]: r["quality"] for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5}
+    rows = [(i, h, {v: views[v][k] for v in views}, label.get(i)) for k, (i, h) in enumerate(zip(table.column("id").to_pylist(), table.column("h").to_pylist()))]
+    model = plain_model(rows, 3, 0.95, 1_000_000)
+    assert model is not None
+    z = {v: logits(model["calibrated"][v], logits(model[v], views[v])[:, None]) for v in views}
+    want = dict(zip([r[0] for r in rows], sigmoid(logits(model["combined"], np.stack([z["t"], z["m"]], 1))).tolist()))
+    staged = quality.features(docs).cache()
+    got = quality.score(staged, quality.fit(staged, labels.where("crc32(cast(doc_id as string)) % 5 <> 0"), per_round=1_000_000)).collect()
+    assert len(got) == len(want) and all(r["score"] == pytest.approx(want[r["doc_id"]], abs=1e-4) for r in got)
+    query = {r["doc_id"]: r for r in queries.op10_quality(spark, SF).collect()}
+    assert set(query) == set(want) and all(r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) and r["predicted"] == (r["score"] >= 0.5) for i, r in query.items())
+    assert np.mean([(query[i]["score"] >= 0.5) == (want[i] >= 0.5) for i in want]) > 0.97
+
+
+def test_pseudo_labels_are_drawn_from_all_rows(spark):
+    n = 4000
+    rnd = np.random.default_rng(3)
+    models = {"t": {"center": np.zeros(quality.TEXT_FEATURES), "scale": np.ones(quality.TEXT_FEATURES), "w": np.append(np.eye(quality.TEXT_FEATURES)[0] * 10, 0.0)}, "m": {"center": np.zeros(quality.META_FEATURES), "scale": np.ones(quality.META_FEATURES), "w": np.zeros(quality.META_FEATURES + 1)}}
+    t = np.zeros((n, quality.TEXT_FEATURES), "<f4")
+    t[:, 0] = rnd.choice([-1, 0, 1], n)
+    rows = pa.table({"id": range(n), "h": rnd.integers(-(2**63), 2**63 - 1, n), "t": pa.array([x.tobytes() for x in t], pa.binary()), "source": pa.array([0] * n, pa.int32()), "lang": pa.array([-1] * n, pa.int32()), "n_chars": [1.0] * n})
+    pool = spark.createDataFrame(rows).repartition(7)
+    drawn = [quality._drawn(pool, models, step, 0.95, {1: 300, 0: 100}) for step in (0, 0, 1)]
+    views, h, y = drawn[0]["m"]
+    assert 220 < y.sum() < 380 and 60 < (1 - y).sum() < 140 and len(views["m"]) == len(h) and not len(drawn[0]["t"][1])
+    assert h.tolist() == drawn[1]["m"][1].tolist() != drawn[2]["m"][1].tolist()
+    sign = dict(zip(rows.column("h").to_pylist(), t[:, 0]))
+    assert all((sign[k] > 0) == bool(c) and sign[k] for k, c in zip(h.tolist(), y))
+
+
+def test_on_held_out_documents(spark):
+    got = {r["doc_id"]: r for r in queries.op10_quality(spark, "/root/testdata/sf0.1").where("held_out").collect()}
+    labels = [(r["quality"], got[r["doc_id"]]["predicted"]) for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect() if r["doc_id"] in got]
+    assert np.mean([a == b for a, b in labels]) > 0.95
+
+
+def test_odd_rows_and_empty_tables(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string, id string, label string, t string"
+    docs = spark.createDataFrame([(1, "a b", "en", None, 3, "x", "x", "x", "x"), (1, "a b", "en", None, 3, "x", "x", "x", "x"), (None, None, None, None, None, None, None, None, None), (2, "", None, "s", -5, "x", "x", "x", "x"), (3, "y " * 200_000, "en", "s", None, "x", "x", "x", "x")], schema)
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    table = quality.features(docs).cache()
+    model = quality.fit(table, none)
+    got = quality.score(table, model).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter([1, 1, None, 2, 3]) and {r["score"] for r in got} == {0.5}
+    some = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, None), (None, 1)], "doc_id long, quality int")
+    assert all(0 <= r["score"] <= 1 for r in quality.score(table, quality.fit(table, some)).collect())
+    empty = quality.features(docs.limit(0))
+    assert quality.score(empty, quality.fit(empty, some)).count() == 0
