@@ -31,6 +31,8 @@ HOMOGLYPHS = {
 LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i"}
 # Phrases in which an entry is harmless.
 EXCEPTIONS = ["trash can", "trash bin", "trash bag", "class clown", "clown fish", "circus clown", "pond scum", "soap scum"]
+#: The shortest and the longest beginning of a word that can be an entry; whole words of any length can.
+STEMS = (3, 8)
 _HIDDEN = [0x200B, 0x200C, 0x200D, 0x2060, 0xAD, 0xFEFF]
 
 _tables: list = []
@@ -133,21 +135,21 @@ class Matcher:
 
 
 def entries_of(text: str) -> set[str]:
-    """Every possible entry of a text: its words and their beginnings, with the blanks around them."""
+    """Every possible entry of a text: its words, and their beginnings of ``STEMS`` letters, with the blanks around them."""
     _, cp, _, _ = fold([text])
     out = set()
     for w in set(cp.tobytes().decode("utf-32-le").split()):
-        if 2 < len(w) < 40:
+        if len(w) > 2:
             out.add(f" {w} ")
-            out.update(f" {w[:n]}" for n in range(3, min(len(w), 8) + 1))
+            out.update(f" {w[:n]}" for n in range(STEMS[0], min(len(w), STEMS[1]) + 1))
     return out
 
 
-def fit(labelled: DataFrame, sample_rows: int = 20_000, candidates: int = 4000, entries: int = 400, exceptions: list[str] = EXCEPTIONS, seed_lexicon: dict[str, float] | None = None) -> dict:
+def fit(labelled: DataFrame, sample_rows: int = 20_000, exceptions: list[str] = EXCEPTIONS, seed_lexicon: dict[str, float] | None = None) -> dict:
     """The model from ``labelled`` (id, text, label 0 or 1), at most about ``sample_rows`` rows.
 
-    Entries are counted on the executors; the driver gets ``candidates`` of them at most, and for each
-    sampled row which of those it has. Rows with a null label aren't used. ``seed_lexicon`` is used
+    Entries are counted on the executors; the driver gets those that tell toxic rows, and for each
+    sampled row which of those it has. All that add enough are taken. Rows with a null label aren't used. ``seed_lexicon`` is used
     beside what is learned. No rows give every text the score of a row without hits.
     """
     # The sample is read several times, so it is written once; its size is bounded.
@@ -175,7 +177,7 @@ def fit(labelled: DataFrame, sample_rows: int = 20_000, candidates: int = 4000,
     odds = F.log((F.col("toxic") + 0.5) / F.lit(n1 + 1.0)) - F.log((F.col("clean") + 0.5) / F.lit(n0 + 1.0))
     least = max(3, n1 // 2000)
     counted = choose.mapInArrow(lean("toxicity", count), "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).withColumn("odds", odds)
-    top = counted.where((F.col("toxic") >= least) & (F.col("odds") > 1.2)).withColumn("rank", F.col("odds") * F.sqrt("toxic")).orderBy(F.desc("rank"), "entry").limit(candidates).collect() if n1 and n0 else []
+    top = counted.where((F.col("toxic") >= least) & (F.col("odds") > 1.2)).collect() if n1 and n0 else []
     weight = {r["entry"]: float(r["odds"]) for r in top}
     names = sorted(weight)
 
@@ -188,7 +190,7 @@ def fit(labelled: DataFrame, sample_rows: int = 20_000, candidates: int = 4000,
     lexicon = dict(seed_lexicon or {})
     if names:
         has = choose.mapInArrow(present, "label int, found array<int>").collect()
-        lexicon |= {names[k]: weight[names[k]] for k in _cover([(r["label"], r["found"]) for r in has], names, entries, least)}
+        lexicon |= {names[k]: weight[names[k]] for k in _cover([(r["label"], r["found"]) for r in has], names, least)}
     matcher_args = (lexicon, list(exceptions))
 
     def measure(batches):
@@ -204,7 +206,7 @@ def fit(labelled: DataFrame, sample_rows: int = 20_000, candidates: int = 4000,
     return {"lexicon": lexicon, "exceptions": list(exceptions), "calibration": fit_logistic(x, np.array([r["label"] for r in got]))}
 
 
-def _cover(rows: list[tuple[int, list[int]]], names: list[str], most: int, least: int) -> list[int]:
+def _cover(rows: list[tuple[int, list[int]]], names: list[str], least: int) -> list[int]:
     """Entries by what they add: a toxic row counts half as much for each entry that has found it before; clean rows count against.
 
     Of an entry and its own beginning the second counts for nothing in the rows of the first.
@@ -220,7 +222,7 @@ def _cover(rows: list[tuple[int, list[int]]], names: list[str], most: int, least
     worth = np.ones(len(toxic))
     chosen: list[int] = []
     gain = {e: float(len(k)) for e, k in holders.items()}
-    while gain and len(chosen) < most:
+    while gain:
         # Gains only fall, so the best by its last known gain is looked at again first. A longer entry wins over
         # one that finds little more, as beginnings of words are more often found in harmless ones.
         best = max(gain, key=lambda e: ((gain[e] - clean[e] * max(ratio, 0.05) * 2) * (1 + 0.01 * len(names[e])), -e))
