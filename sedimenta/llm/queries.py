@@ -112,8 +112,8 @@ ORACLES = {
     "op1_exact_topk": """
         with met as (
             select q.vec_id as query_id, e.vec_id,
-                   cast(list_sum(list_transform(range(1, 65), lambda i: case when (q.embedding[i] > 0) <> (e.embedding[i] > 0) then 1 else 0 end)) as integer) as distance
-            from embeddings q, embeddings e where q.vec_id % 100 = 0),
+                   cast(list_sum(list_transform(range(1, (select max(len(embedding)) from embeddings) + 1), lambda i: case when coalesce(q.embedding[i] > 0, false) <> coalesce(e.embedding[i] > 0, false) then 1 else 0 end)) as integer) as distance
+            from embeddings q, embeddings e where q.vec_id % 100 = 0 and q.embedding is not null and e.embedding is not null),
         ranked as (select *, cast(row_number() over (partition by query_id order by distance, vec_id) as integer) as rank from met)
         select query_id, rank, vec_id, distance from ranked where rank <= 10""",
     "op4_url_filters": """

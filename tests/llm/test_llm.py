@@ -82,20 +82,38 @@ def test_components(spark):
     assert got == {x: find(x) for x in root}
 
 
-def test_top_k_is_exact_with_ties_and_repeats(spark):
+@pytest.mark.parametrize("blocks", [(2, 64), (3, 17), (1024, 1 << 16)])
+def test_top_k_is_exact_with_ties_and_repeats(spark, blocks):
     rnd = np.random.default_rng(3)
-    vectors = [[float(x) for x in rnd.normal(size=32)] for _ in range(150)]
-    rows = [(i, vectors[i % 120]) for i in range(300)] + [(0, vectors[0]), (500, None), (None, vectors[0]), (501, [1.0])]
-    codes = hamming.sign_codes(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), bits=32)
-    got = hamming.top_k(codes.where("id % 50 = 0"), codes, k=7, query_block=2, code_block=64)
+    vectors = [[float(x) for x in rnd.normal(size=41)] for _ in range(150)]
+    rows = [(i, vectors[i % 120]) for i in range(300)] + [(0, vectors[0]), (500, None), (None, vectors[0]), (501, [1.0]), (502, []), (550, [1.0, float("nan"), None, 2.0])]
+    given = spark.createDataFrame([(*r, "x", "y") for r in rows], "vec_id long, embedding array<double>, id string, code string")
+    codes = hamming.sign_codes(given)
+    got = hamming.top_k(codes.where("id % 50 = 0"), codes, k=7, query_block=blocks[0], code_block=blocks[1])
     got = sorted((r["query_id"], r["rank"], r["id"], r["distance"]) for r in got.collect())
-    bits = {i: np.array(v) > 0 for i, v in rows[:300]}
+    bits = {i: np.pad(np.array([x or 0 for x in v], float), (0, 41 - len(v))) > 0 for i, v in rows if i is not None and v is not None}
     want = []
-    for q in range(0, 300, 50):
+    for q in [i for i in bits if i % 50 == 0]:
         best = sorted((int((bits[q] != b).sum()), i) for i, b in bits.items())[:7]
         want += [(q, k + 1, i, d) for k, (d, i) in enumerate(best)]
-    assert got == want
-    assert hamming.top_k(codes.where("id < 0"), codes).count() == 0
+    assert got == sorted(want)
+    assert hamming.top_k(codes.where("id < 0"), codes).count() == 0 and hamming.top_k(codes, codes.where("id < 0")).count() == 0
+    assert hamming.sign_codes(given.limit(0)).count() == 0 and hamming.sign_codes(given, bits=8).count() == 3
+
+
+def test_a_bound_ends_the_search_early_and_loses_nothing():
+    rnd = np.random.default_rng(9)
+    codes = np.unique(rnd.integers(0, 256, (3000, 8)).astype(np.uint8), axis=0)
+    query, counts = codes[5] ^ np.uint8(3), np.ones(len(codes), np.int64)
+    distance = np.bitwise_count(codes ^ query).sum(axis=1)
+    probed = []
+    for bound in (None, 22, 9):
+        index = hamming.SegmentIndex(codes)
+        rows, got = index.nearest(query, counts, 10, bound)
+        want = np.sort(distance[distance <= bound]) if bound else np.sort(distance)[:10]
+        assert np.sort(got)[: len(want)].tolist() == want[: len(got)].tolist() and (distance[rows] == got).all()
+        probed.append(index.probed)
+    assert probed[2] < probed[0]
 
 
 def test_language_id(spark, docs, none):
