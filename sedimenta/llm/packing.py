@@ -212,22 +212,25 @@ def plan_places(counts: dict[int, int], capacity: int) -> list[tuple[int, int, i
     return places
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, buckets: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, bucket_pieces: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of every row.
 
     Null texts count as empty: one piece that holds ``end_id`` only. Rows with one id, equal rows and a
     null id are packed like any others. Pieces of one length are ranked by a hash bucket, then by id and
-    piece, so a length that very many pieces share isn't ranked in one task. An empty table gives no rows.
+    piece; there are as many buckets as give each about ``bucket_pieces`` pieces of all lengths, so a length that
+    very many pieces share isn't ranked in one task. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    pieces, _ = stage_table(token_pieces(docs, tokenizer, capacity, end_id, id_col, text_col).withColumn("bucket", F.pmod(F.xxhash64("id", "piece"), F.lit(buckets)).cast("int")), "pieces")
-    # At most capacity * buckets rows.
+    # Equal pieces (of a hot id, or of a row that is there very often) are dealt out by where they were made.
+    made = F.monotonically_increasing_id()
+    pieces, _ = stage_table(token_pieces(docs, tokenizer, capacity, end_id, id_col, text_col).withColumn("deal", F.pmod(F.xxhash64("id", "piece", "ids_crc32", made), F.lit(1 << 30)).cast("int")), "pieces")
+    pieces = pieces.withColumn("bucket", F.pmod("deal", F.lit(-(-max(1, pieces.count()) // bucket_pieces))).cast("int"))
     counts = pieces.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = counts.select("length", "bucket", (F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("before"))
-    totals = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    totals = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
     places = plan_places(totals, capacity)
     rank = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("id", "piece", "start", "ids_crc32")) - 1
-    ranked = pieces.withColumn("rank", rank).join(F.broadcast(before), ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("before"))
+    ranked = pieces.withColumn("rank", rank).join(before, ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("before"))
     # A few places for each length, whatever the number of pieces.
     table = spark.createDataFrame(places or [(0, 0, 0, 1, 0, 0)], "length long, low long, high long, k long, sequence long, base long").withColumnRenamed("length", "place_length")
     at = F.col("rank") - F.col("low")

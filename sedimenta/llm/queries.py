@@ -47,6 +47,7 @@ def op3_sharding(spark, sf_dir):
     store = ShardStore(spark, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}", docs.schema, target_bytes=64 << 20)
     store.append(docs, arrivals=16, key="doc_id")
     store.compact()
+    store.vacuum()
     return store.placed("doc_id")
 
 

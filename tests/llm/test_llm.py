@@ -140,7 +140,13 @@ def test_shards_keep_every_row_and_commit_versions(spark, docs, none, tmp_path):
     assert store.append(none) == store.version()
     first = store.version()
     store.compact()
-    assert store.version() > first and not shards.similar_runs(store.shards(), 3)
+    assert store.version() > first and not shards.similar_runs(store.shards(), 3, store.target_bytes)
+    for version in range(1, store.version() + 1):  # every version stays readable
+        assert Counter(map(tuple, store.read(version).collect())) == Counter(DOCS * 2) or version < first
+    live = {s.file for s in store.shards()}
+    assert store.vacuum() > 0 and {s.file for s in store.shards()} == live and store.vacuum() == 0
+    with pytest.raises(Exception):
+        store.shards(first)
     assert Counter(map(tuple, store.read().collect())) == Counter(DOCS * 2)
     placed = store.placed("doc_id").collect()
     assert len(placed) == 2 * len(DOCS) and all(n == r["shard_rows"] for r in placed for n in [sum((x["run"], x["shard"]) == (r["run"], r["shard"]) for x in placed)])
@@ -162,9 +168,27 @@ def test_placed_gives_each_row_of_uncompacted_arrivals_once(spark, tmp_path, hot
     assert Counter((r["run"], r["tier"], r["shard_rows"]) for r in placed) == Counter({(s.run, s.tier, s.rows): s.rows for s in live})
 
 
+def test_places_beside_columns_of_the_same_names(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a", 5), (2, None, 6), (2, None, 6)], "run long, shard string, version int")
+    store = shards.ShardStore(spark, f"file://{tmp_path}/c", rows.schema)
+    assert store.placed("run", "shard").columns == ["run", "shard", "run_", "tier", "shard_", "shard_rows", "version"]
+    store.append(rows, arrivals=2, key="run")
+    got = store.placed("run", "shard", "version").collect()
+    assert sorted((r["run"], r["shard"] or "", r["version"]) for r in got) == [(1, "a", 5), (2, "", 6), (2, "", 6)]
+    assert {r["version_"] for r in got} == {store.version()} and {(r["run_"], r["shard_"]) for r in got} == {(s.run, k) for s in store.shards() for k in range(1, 3) if sum(x.run == s.run for x in store.shards()) >= k}
+
+
+def test_the_sharding_query_places_each_document_once(spark, sf):
+    got = queries.op3_sharding(spark, sf).collect()
+    docs = spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert len(got) == docs and len({r["doc_id"] for r in got}) == docs
+    in_shard = Counter((r["run"], r["shard"]) for r in got)
+    assert all(in_shard[r["run"], r["shard"]] == r["shard_rows"] for r in got) and len({r["version"] for r in got}) == 1
+
+
 def test_similar_runs():
     s = [shards.Shard(i, 0, "f", 1, n) for i, n in enumerate([10, 11, 12, 13, 100, 110, 9, 1000])]
-    assert shards.similar_runs(s, 4) == [[6, 0, 1, 2]]
+    assert shards.similar_runs(s, 4) == [[6, 0, 1, 2]] and shards.similar_runs(s, 4, 14) == []
 
 
 URLS = ["http://a.com/x", "https://WWW.example.com/en/1?x=/", "http://m.example.com/en/", "http://b.net/es/", "http://b.net/esx", "http://b.net/fr/2#t", "http://casino-win.org/", "http://casinos.org/", "nothing", None, "://", "http://a.com", "http://spam-x.net/es/3", "x://y://z.com/", "http://xcom/"]
@@ -325,7 +349,7 @@ def test_packing_places_every_token_once(spark, docs, none):
     from tokenizers import Tokenizer
 
     path = queries.tokenizer_path()
-    got = packing.pack(docs, path, capacity=64, buckets=3).collect()
+    got = packing.pack(docs, path, capacity=64, bucket_pieces=40).collect()
     t = Tokenizer.from_file(path)
     want = Counter()
     for d in DOCS:
