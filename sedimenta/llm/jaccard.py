@@ -255,8 +255,8 @@ def similar_groups(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10,
     t.drop("stars")
     links = t.put("links", _star_links(keep, allowed, words, num, den, tile_shingles).distinct())
     own = sizes.where("n > 0 and id is not null")
-    reps = own.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("rows")).where("rows > 1")
-    copies = t.put("copies", own.join(reps, ["n", "s1", "s2"]).where("id <> rep").select(F.col("rep").alias("u"), F.col("id").alias("v")).distinct())
+    reps = t.put("reps", own.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("rows")).where("rows > 1"))
+    copies = t.put("copies", own.join(reps.hint("shuffle_hash"), ["n", "s1", "s2"]).where("id <> rep").select(F.col("rep").alias("u"), F.col("id").alias("v")).distinct())
     found, path = components(links.unionAll(copies))
     # What hangs on one signature, but isn't connected by its hub.
     labelled = nodes.select("id", "n", "s1", "bits").join(found, F.col("id") == F.col("node"), "left").select("id", "n", "s1", "bits", F.coalesce("component", "id").alias("label"))
@@ -269,7 +269,7 @@ def similar_groups(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10,
         drop_table(t.spark, path)
         found, path = components(links.unionAll(copies).unionAll(more))
         t.drop("more")
-    t.drop("members", "labelled", "rest", "links", "copies")
+    t.drop("members", "labelled", "rest", "links", "copies", "reps")
     out, _ = stage_table(sizes.select("id", "n").join(found.withColumnRenamed("node", "id"), "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")), "groups")
     t.drop("sizes")
     drop_table(t.spark, path)
