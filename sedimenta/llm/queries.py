@@ -109,6 +109,9 @@ QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_language_id, op3_sharding
 
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_words = "|".join([*urls.HOST_WORDS, *("[-_.]".join(w) for w in urls.HOST_PAIRS)])
+_paths = rf"/({'|'.join(urls.PATH_WORDS)})([^A-Za-z0-9]|$)|^[^/]*/([^?]*[^A-Za-z0-9])?({'|'.join('[-_./]'.join(w) for w in urls.PATH_RUNS)})([^A-Za-z0-9]|$)"
+
 ORACLES = {
     "op1_exact_topk": """
         with met as (
@@ -117,7 +120,7 @@ ORACLES = {
             from embeddings q, embeddings e where q.vec_id % 100 = 0 and q.embedding is not null and e.embedding is not null),
         ranked as (select *, cast(row_number() over (partition by query_id order by distance, vec_id) as integer) as rank from met)
         select query_id, rank, vec_id, distance from ranked where rank <= 10""",
-    "op4_url_filters": """
+    "op4_url_filters": rf"""
         with parts as (
             select page_id, case when url like '%://%' then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
         hosts as (
@@ -130,7 +133,7 @@ ORACLES = {
                    row_number() over (partition by page_id order by length(rule_host || rule_path) desc nulls last) as n
             from hosts left join rules on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path))
         select page_id, host, path, rule,
-               coalesce(v, case when regexp_matches(host, '(^|[^a-z0-9])(spam|casino|adult|porn|xxx|pills|viagra|bets|betting|ads|malware|phishing)([^a-z0-9]|$)') then 'block' else 'allow' end) as verdict
+               coalesce(v, case when regexp_matches(host, '(^|[^a-z0-9])({_words})([^a-z0-9]|$)') or regexp_matches(host || path, '{_paths}') then 'block' else 'allow' end) as verdict
         from fits where n = 1""",
     "op5_jaccard_join": rf"""
         with recursive words as (select doc_id, regexp_extract_all({_FOLDED}, '[^\x20\x09-\x0D]+') as w from documents),

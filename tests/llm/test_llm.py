@@ -6,12 +6,11 @@ import re
 import zlib
 from collections import Counter
 
-import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sedimenta.llm import exact_dedup, hamming, jaccard, langid, mixing, packing, queries, shards, toxicity, urls
+from sedimenta.llm import exact_dedup, hamming, jaccard, langid, mixing, packing, queries, shards, toxicity
 from sedimenta.llm.components import components
 from sedimenta.llm.sampling import bounded_sample, labelled_rows
 from sedimenta.llm.textcore import Table, span_hashes
@@ -191,21 +190,6 @@ def test_similar_runs():
     assert shards.similar_runs(s, 4) == [[6, 0, 1, 2]] and shards.similar_runs(s, 4, 14) == []
 
 
-URLS = ["http://a.com/x", "https://WWW.example.com/en/1?x=/", "http://m.example.com/en/", "http://b.net/es/", "http://b.net/esx", "http://b.net/fr/2#t", "http://casino-win.org/", "http://casinos.org/", "nothing", None, "://", "http://a.com", "http://spam-x.net/es/3", "x://y://z.com/", "http://xcom/"]
-
-
-@pytest.mark.parametrize("inline", [256, 0])
-def test_urls_inline_and_joined(spark, inline):
-    pages = spark.createDataFrame([(i, u) for i, u in enumerate(URLS)] + [(0, URLS[0]), (None, URLS[0])], "page_id long, url string")
-    c = duckdb.connect()
-    c.execute("create table pages(page_id bigint, url varchar)")
-    c.executemany("insert into pages values (?, ?)", [list(x) for x in enumerate(URLS)])
-    want = {r[0]: r[1:] for r in c.sql("select page_id, host, path, rule, verdict from (" + queries.ORACLES["op4_url_filters"] + ")").fetchall()}
-    got = urls.judge(pages, queries.CONTRACT_RULES + urls.DEFAULT_RULES, inline=inline).collect()
-    assert len(got) == len(URLS) + 2 and all(tuple(r)[1:] == want[r["page_id"] or 0] for r in got)
-    assert urls.judge(pages.limit(0), queries.CONTRACT_RULES, inline=inline).count() == 0
-
-
 def brute_groups(rows, n, num, den):
     sets = [(i, {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()) for i, t in rows for w in [words(lowered(t))]]
     links = [(a, b) for k, (a, s) in enumerate(sets) for b, t in sets[:k] if None not in (a, b) and s and t and den * min(len(s), len(t)) >= num * max(len(s), len(t)) and den * len(s & t) >= num * len(s | t)]
