@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedimenta.operators.resolve import latest, visible
+from sedimenta.operators.resolve import visible
 from sedimenta.plans.log import UNBOUNDED, Bound, in_range
+from sedimenta.sources.hfs import stage_table
 
 
 def scan(log: DataFrame, lower: Bound = UNBOUNDED, upper: Bound = UNBOUNDED, limit: int | None = None, reverse: bool = False, ordered: bool = True) -> DataFrame:
@@ -49,27 +50,16 @@ def floor_index(index: DataFrame, probes: DataFrame) -> DataFrame:
 
 
 def _neighbour(keys: DataFrame, probes: DataFrame, forward: bool) -> DataFrame:
-    from pyspark.sql import Window
-
-    # Equal keys must lie where a probe sees them: after it when looking forward, before it when looking back.
-    both = keys.select(F.col("key").alias("at"), F.col("key"), F.lit(1 if forward else 0).alias("side")).unionAll(probes.select(F.col("probe").alias("at"), F.lit(None).cast(keys.schema["key"].dataType).alias("key"), F.lit(0 if forward else 1).alias("side")))
-    dealt = both.repartitionByRange("at").withColumn("part", F.spark_partition_id())
-    order = Window.partitionBy("part").orderBy("at", "side")
-    if forward:
-        inside = F.first("key", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-        edge = dealt.groupBy("part").agg(F.min("key").alias("edge")).where("edge is not null")
-        near = F.min("edge")
-    else:
-        inside = F.last("key", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-        edge = dealt.groupBy("part").agg(F.max("key").alias("edge")).where("edge is not null")
-        near = F.max("edge")
-    probed = dealt.withColumn("found", inside).where(F.col("key").isNull()).select("part", F.col("at").alias("probe"), "found")
-    parts = probed.select("part").distinct()
+    # Equal keys must come before the probe in the order of the pass.
+    both = keys.select(F.col("key").alias("at"), F.col("key"), F.lit(0).alias("side")).unionAll(probes.select(F.col("probe").alias("at"), F.lit(None).cast(keys.schema["key"].dataType).alias("key"), F.lit(1).alias("side")))
+    # Ranges and their numbers are fixed once: all that follows must see the same ones.
+    dealt, _ = stage_table(both.repartitionByRange("at").withColumn("part", F.spark_partition_id()), "ranges")
+    way = F.desc if forward else F.asc
+    # The last key so far in a pass towards the probe: a frame that only grows.
+    order = Window.partitionBy("part").orderBy(way("at"), "side").rowsBetween(Window.unboundedPreceding, 0)
+    probed = dealt.withColumn("found", F.last("key", ignorenulls=True).over(order)).where("side = 1").select("part", F.col("at").alias("probe"), "found")
     # One row a range: the nearest key in the ranges beyond.
-    beyond = parts.join(edge.withColumnRenamed("part", "other"), F.col("other") > F.col("part") if forward else F.col("other") < F.col("part")).groupBy("part").agg(near.alias("beyond"))
-    return probed.join(F.broadcast(beyond), "part", "left").select("probe", F.coalesce("found", "beyond").alias("key"))
-
-
-def resolved(log: DataFrame) -> DataFrame:
-    """What a flush or a compaction keeps: the newest version of every key, tombstones retained."""
-    return latest(log)
+    edge = dealt.groupBy("part").agg((F.min if forward else F.max)("key").alias("edge"))
+    beyond = Window.partitionBy().orderBy(way("part")).rowsBetween(Window.unboundedPreceding, -1)
+    edge = edge.select("part", F.last("edge", ignorenulls=True).over(beyond).alias("beyond"))
+    return probed.join(edge, "part").select("probe", F.coalesce("found", "beyond").alias("key"))

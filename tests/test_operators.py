@@ -1,6 +1,7 @@
 """Pure operators: merges, bounds, seeks, compaction policy, formats."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from sedimenta.functions.entries import decode_entries, encode_entry, frame, frames
 from sedimenta.operators import compact as policy
@@ -49,6 +50,19 @@ def test_seek_and_floor_match_a_plain_search(spark):
     assert {r["probe"]: r["key"] for r in ops.floor_index(run, asked).collect()} == {p: max((k for k in keys if k <= p), default=keys[0]) for p in probes}
 
 
+def test_seek_and_floor_at_a_million_keys(spark):
+    n = 1_000_000
+    keys = spark.range(n).select(F.lpad((F.col("id") * 7).cast("string"), 9, "0").alias("key"))
+    probes = spark.range(0, 7 * n + 20, 23).select(F.lpad(F.col("id").cast("string"), 9, "0").alias("probe"))
+    number = F.col("probe").cast("long")
+    up, down = F.ceil(number / 7) * 7, F.least(F.floor(number / 7) * 7, F.lit(7 * (n - 1)))
+    wrong = ops.seek(keys, probes).where(~F.col("key").cast("long").eqNullSafe(F.when(up <= 7 * (n - 1), up)))
+    assert wrong.count() == 0 and ops.seek(keys, probes).count() == probes.count()
+    assert ops.floor_index(keys, probes).where(~F.col("key").cast("long").eqNullSafe(down)).count() == 0
+    empty = keys.limit(0)
+    assert ops.seek(empty, probes.limit(5)).where("key is null").count() == 5 and ops.seek(keys, probes.limit(0)).count() == 0
+
+
 def test_ranges_cover_everything():
     planned = policy.plan_ranges([(b"00", b"50"), (b"20", b"70"), (b"40", b"90")])
     assert planned[0][0] == b"00" and planned[-1][1] == b"90" and all(a[1] == b[0] for a, b in zip(planned, planned[1:]))
