@@ -20,6 +20,12 @@ def row_checksum(key: str = "key", value: str = "value") -> Column:
     return F.crc32(F.concat(k, F.lit(b":"), F.octet_length(k).cast("string").cast("binary"), F.lit(b":"), v))
 
 
+def log_checksum() -> Column:
+    """CRC-32 of a log row, all of its columns."""
+    rest = F.concat_ws(":", F.lit(""), F.col("is_tombstone").cast("string"), F.col("seq").cast("string"), F.col("ord").cast("string"))
+    return F.crc32(F.concat(row_checksum().cast("string").cast("binary"), rest.cast("binary")))
+
+
 def frame(payload: bytes) -> bytes:
     """A record with its length and CRC-32 before it."""
     return struct.pack(">II", len(payload), zlib.crc32(payload)) + payload

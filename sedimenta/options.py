@@ -24,6 +24,10 @@ class Options:
     row_group_bytes: int = 128 * MIB
     false_positive_rate: float | None = 0.1
     wait_entries: int = 10
+    wait_seconds: float = 0.05
+    background: bool = True
+    compactions_at_once: int = 4
+    verify_on_open: bool = False
     retain_versions: int = 10
 
     def __post_init__(self):
@@ -36,10 +40,6 @@ class Options:
         if min(self.memtable_bytes, self.max_pending_batches, self.min_batches_to_flush, self.level_base_bytes, self.level_multiplier, self.target_file_bytes, self.target_run_bytes) < 1:
             raise ValueError("sizes and counts must be positive")
 
-    def buffer_bytes(self) -> int:
-        """Bytes of small writes held before they are flushed: so many full batches that a flush is worth it, and one less than may wait."""
-        return self.memtable_bytes * max(1, min(self.min_batches_to_flush, self.max_pending_batches - 1))
-
     def path(self, root: str) -> Options:
         return replace(self, root=root)
 

@@ -53,11 +53,11 @@ class Hfs:
             return []
         return sorted(s.getPath().getName() for s in self._fs.listStatus(self.path(p)))
 
-    def files(self, p: str, suffix: str = "") -> list[tuple[str, int]]:
-        """(full path, bytes) of the files directly below a directory, by name."""
+    def files(self, p: str, suffix: str = "", before: float | None = None) -> list[tuple[str, int]]:
+        """(full path, bytes) of the files directly below a directory, by name; with ``before`` (a time), older ones only."""
         if not self.exists(p):
             return []
-        found = [(s.getPath().toString(), s.getLen()) for s in self._fs.listStatus(self.path(p)) if s.isFile()]
+        found = [(s.getPath().toString(), s.getLen()) for s in self._fs.listStatus(self.path(p)) if s.isFile() and (before is None or s.getModificationTime() <= before * 1000)]
         return sorted(f for f in found if f[0].endswith(suffix))
 
     def write(self, p: str, data: bytes) -> None:

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimenta.functions.entries import entry_bytes
+from sedimenta.functions.entries import entry_bytes, log_checksum
 from sedimenta.options import Options
 from sedimenta.plans.log import LOG_SCHEMA
 from sedimenta.sources.hfs import Hfs
@@ -35,9 +36,9 @@ def describe_runs(spark: SparkSession, fs: Hfs, path: str, level: int) -> list[R
     sizes = {p.rsplit("/", 1)[1]: n for p, n in fs.files(path, ".parquet")}
     if not sizes:
         return []
-    stats = read_runs(spark, [path]).groupBy(F.col("_metadata.file_name").alias("file")).agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("n"), F.min("seq").alias("s0"), F.max("seq").alias("s1"))
+    stats = read_runs(spark, [path]).groupBy(F.col("_metadata.file_name").alias("file")).agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("n"), F.min("seq").alias("s0"), F.max("seq").alias("s1"), F.sum(log_checksum()).alias("crc"))
     # One row a file.
-    return sorted((RunEntry(f"{path.rsplit('/', 1)[1][:12]}-{r['file'].split('-')[1]}", level, f"{path}/{r['file']}", bytes(r["low"]), bytes(r["high"]), r["n"], sizes[r["file"]], r["s0"], r["s1"]) for r in stats.collect()), key=lambda r: r.min_key)
+    return sorted((RunEntry(f"{path.rsplit('/', 1)[1][:12]}-{r['file'].split('-')[1]}", level, f"{path}/{r['file']}", bytes(r["low"]), bytes(r["high"]), r["n"], sizes[r["file"]], r["s0"], r["s1"], r["crc"]) for r in stats.collect()), key=lambda r: r.min_key)
 
 
 def read_runs(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -45,6 +46,17 @@ def read_runs(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.read.schema(LOG_SCHEMA).parquet(*paths) if paths else spark.createDataFrame([], LOG_SCHEMA)
 
 
+def damaged_runs(spark: SparkSession, runs: Iterable[RunEntry]) -> list[str]:
+    """Ids of the runs whose rows don't have the checksum and number that the manifest says; one row a run comes back."""
+    known = {r.path.rsplit("/runs/", 1)[1]: r for r in runs if r.crc is not None}
+    if not known:
+        return []
+    file = F.regexp_extract(F.col("_metadata.file_path"), "^.*/runs/(.*)$", 1)
+    got = read_runs(spark, [r.path for r in known.values()]).groupBy(file.alias("file")).agg(F.sum(log_checksum()).alias("crc"), F.count("*").alias("n")).collect()
+    found = {r["file"]: (r["crc"], r["n"]) for r in got}
+    return sorted(r.id for f, r in known.items() if found.get(f) != (r.crc, r.rows))
+
+
 def run_stats(log: DataFrame, by: str) -> DataFrame:
     """(run, min_key, max_key, entries, bytes) of a log with a run column; bytes as entries are encoded."""
     return log.groupBy(by).agg(F.min("key").alias("min_key"), F.max("key").alias("max_key"), F.count("*").alias("entries"), F.sum(entry_bytes()).alias("bytes"))
