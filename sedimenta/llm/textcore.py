@@ -210,15 +210,39 @@ def ragged(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(first - (ends - count), count)
 
 
+#: So many characters below 256 fit a 64-bit key with their number.
+_SHORT = 7
+
+
+def memo_keys(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit key of each span, and whether the key tells all of it; else it is a hash."""
+    n = ends - starts
+    packed, high = n.astype(U64), np.zeros(len(n), values.dtype)
+    some = np.flatnonzero(n <= _SHORT)
+    for k in range(_SHORT):
+        some = some[n[some] > k]
+        if not len(some):
+            break
+        c = values[starts[some] + k]
+        packed[some] |= c.astype(U64) << U64(8 * k + 8)
+        high[some] |= c
+    exact = (n <= _SHORT) & (high < 256)
+    h = mix(packed)
+    rest = np.flatnonzero(~exact)
+    h[rest] = span_hashes(values, starts[rest], ends[rest])
+    return h, exact
+
+
 class Memo:
-    """Row numbers of distinct spans of characters: found by hash, and compared with the characters remembered."""
+    """Row numbers of distinct spans of characters: short ones by themselves, others by hash and then by their characters."""
 
     def __init__(self):
         self.forget()
 
     def forget(self) -> None:
         self.table, self.size, self.used = Table(), 0, 0
-        self.first, self.length = np.empty(0, np.int64), np.empty(0, np.int64)
+        #: Where a span's characters lie, and how many there are; none of those whose key tells all.
+        self.first, self.length = np.empty(0, np.int64), np.empty(0, np.int32)
         self.flat = np.empty(0, np.uint32)
         #: Spans whose hash another one has taken.
         self.clash: dict[bytes, int] = {}
@@ -228,24 +252,25 @@ class Memo:
         if n > len(old):
             setattr(self, name, np.concatenate((old, np.zeros(max(n - len(old), len(old)), old.dtype))))
 
-    def add(self, h: np.ndarray, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """New row numbers for spans with distinct hashes that the table doesn't have."""
-        n = ends - starts
+    def add(self, h: np.ndarray, exact: np.ndarray, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """New row numbers for spans with distinct keys that the table doesn't have."""
+        n = np.where(exact, 0, ends - starts)
         rows = np.arange(self.size, self.size + len(h))
         for name in ("first", "length"):
             self._grow(name, self.size + len(h))
-        self._grow("flat", self.used + int(n.sum()))
-        self.first[rows], self.length[rows] = self.used + np.cumsum(n) - n, n
-        self.flat[self.used : self.used + int(n.sum())] = values[ragged(starts, n)]
-        self.size, self.used = self.size + len(h), self.used + int(n.sum())
+        total = int(n.sum())
+        self._grow("flat", self.used + total)
+        self.first[rows], self.length[rows] = self.used + np.cumsum(n) - n, np.where(exact, -1, n)
+        self.flat[self.used : self.used + total] = values[ragged(starts, n)]
+        self.size, self.used = self.size + len(h), self.used + total
         self.table.add(h, rows)
         return rows
 
-    def find(self, h: np.ndarray, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def find(self, h: np.ndarray, exact: np.ndarray, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The row of each span, -1 where there is none."""
         rows = self.table.find(h)
         known = np.flatnonzero(rows >= 0)
-        n = (ends - starts)[known]
+        n = np.where(exact[known], -1, (ends - starts)[known])
         wrong = n != self.length[rows[known]]
         same = np.flatnonzero(~wrong & (n > 0))
         done = 0
@@ -260,15 +285,15 @@ class Memo:
 
     def lookup(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The row of each span, -1 where there is none; nothing is learned."""
-        return self.find(span_hashes(values, starts, ends), values, starts, ends)
+        return self.find(*memo_keys(values, starts, ends), values, starts, ends)
 
     def rows(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray, learn, most: int, forget=None) -> np.ndarray:
         """The row of each span. ``learn`` gets the index of one of each new span, whose rows follow on those there are.
 
         When more than ``most`` would be remembered all are forgotten first, and ``forget`` is called.
         """
-        h = span_hashes(values, starts, ends)
-        rows = self.find(h, values, starts, ends)
+        h, exact = memo_keys(values, starts, ends)
+        rows = self.find(h, exact, values, starts, ends)
         new = np.flatnonzero(rows < 0)
         if len(new) and self.size and self.size + len(np.unique(h[new])) > most:
             self.forget()
@@ -281,8 +306,8 @@ class Memo:
             where = free[np.unique(h[free], return_index=True)[1]]
             if len(where):
                 learn(where)
-                self.add(h[where], values, starts[where], ends[where])
-            rows[new] = self.find(h[new], values, starts[new], ends[new])
+                self.add(h[where], exact[where], values, starts[where], ends[where])
+            rows[new] = self.find(h[new], exact[new], values, starts[new], ends[new])
             for i in np.flatnonzero(rows < 0).tolist():
                 text = values[starts[i] : ends[i]].astype("<u4").tobytes()
                 if text not in self.clash:

@@ -32,11 +32,12 @@ def test_a_word_and_its_complement_are_told_apart(n):
     assert sets[0].tolist() != sets[1].tolist()
 
 
-def test_words_that_share_a_hash_keep_their_own_ids(monkeypatch):
+@pytest.mark.parametrize("exact", [False])
+def test_words_that_share_a_hash_keep_their_own_ids(monkeypatch, exact):
     from tokenizers import Tokenizer
 
-    whole = textcore.span_hashes
-    monkeypatch.setattr(textcore, "span_hashes", lambda *a: whole(*a) & np.uint64(7))
+    whole = textcore.memo_keys
+    monkeypatch.setattr(textcore, "memo_keys", lambda *a: [f(x) for f, x in zip((lambda h: h & np.uint64(7), lambda e: e & exact), whole(*a))])
     path, rnd = queries.tokenizer_path(), random.Random(1)
     tokenizer, encoder = Tokenizer.from_file(path), packing.Encoder(path)
     for _ in range(20):
@@ -57,3 +58,21 @@ def test_a_hash_hangs_on_the_span_alone():
     long = np.zeros(2 * textcore.SLICE + 7, np.uint8)
     a, b = (textcore.span_hashes(np.concatenate((np.ones(k, np.uint8), long)), np.array([k]), np.array([k + len(long)])) for k in (0, 5))
     assert a == b
+
+
+def test_short_spans_are_their_own_keys():
+    rnd = np.random.default_rng(4)
+    values = rnd.choice([0, 1, 97, 98, 255, 256, 0x4E00, 0x10FFFF], 40_000).astype(np.uint32)
+    starts = np.sort(rnd.choice(len(values) - 12, 9000, replace=False))
+    ends = starts + rnd.integers(0, 11, 9000)
+    h, exact = textcore.memo_keys(values, starts, ends)
+    of = {}
+    for key, e, a, b in zip(h.tolist(), exact.tolist(), starts.tolist(), ends.tolist()):
+        span = tuple(values[a:b].tolist())
+        assert e == (len(span) <= 7 and all(c < 256 for c in span)) and of.setdefault(span, key) == key
+    assert len(set(of.values())) == len(of)
+    memo, seen = textcore.Memo(), []
+    rows = memo.rows(values, starts, ends, lambda at: seen.extend(at.tolist()), 1 << 60)
+    of = {}
+    assert all(of.setdefault(tuple(values[a:b].tolist()), r) == r for r, a, b in zip(rows.tolist(), starts.tolist(), ends.tolist())) and len(set(of.values())) == len(of) == memo.size == len(seen)
+    assert all(rows[i] == k for k, i in enumerate(seen)) and (memo.lookup(values, starts, ends) == rows).all()
