@@ -262,7 +262,8 @@ def similar_groups(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10,
     labelled = nodes.select("id", "n", "s1", "bits").join(found, F.col("id") == F.col("node"), "left").select("id", "n", "s1", "bits", F.coalesce("component", "id").alias("label"))
     labelled = t.put("labelled", labelled)
     rest = members.join(labelled.select("s1", "label"), "s1").groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("hub").alias("hub")).where("low <> high")
-    rest = t.put("rest", rest.select("key", "hub"))
+    # The main component of a signature is its hub's.
+    rest = t.put("rest", rest.join(labelled.select(F.col("s1").alias("hub"), F.col("label").alias("main")), "hub").groupBy("key").agg(F.min("main").alias("main")))
     t.drop("allowed", "nodes")
     if not rest.isEmpty():
         more = t.put("more", _cluster_links(keep, members, rest, labelled, words, num, den, tile_shingles, block_sets))
@@ -355,10 +356,9 @@ def _cluster_links(keep: DataFrame, members: DataFrame, rest: DataFrame, labelle
     """Links (u, v) that connect what the hubs have left apart: in signatures of several components, by clusters."""
     spark = keep.sparkSession
     t = _Staged(spark)
-    some = t.put("apart", members.select("key", "s1").join(rest.hint("shuffle_hash"), "key").select("key", "hub", "s1"))
-    # Main are the sets of the hub's component: no two of them need be compared.
-    main = labelled.select(F.col("s1").alias("hub"), F.col("label").alias("main")).groupBy("hub").agg(F.min("main").alias("main"))
-    some = some.join(labelled, "s1").join(main, "hub").select("key", "id", "n", "bits", "label", (F.col("label") == F.col("main")).alias("is_main"))
+    some = t.put("apart", members.select("key", "s1").join(rest.hint("shuffle_hash"), "key"))
+    # No two sets of the main component need be compared.
+    some = some.join(labelled, "s1").select("key", "id", "n", "bits", "label", (F.col("label") == F.col("main")).alias("is_main"))
     some = t.put("ties", some)
     counts = some.groupBy("key", "is_main").agg(F.count("*").alias("sets"))
     blocks = counts.groupBy("key").agg(*[F.ceil(F.coalesce(F.max(F.when(F.col("is_main") == m, F.col("sets"))), F.lit(0)) / F.lit(block_sets)).cast("int").alias(c) for m, c in ((True, "mains"), (False, "odds"))])
