@@ -17,10 +17,10 @@ from sedimenta.operators import read as ops
 from sedimenta.operators.resolve import deleted, latest, merge_by_priority, merge_prefer_left
 from sedimenta.options import Options
 from sedimenta.plans.log import UNBOUNDED, Bound
-from sedimenta.sources.hfs import shared_dir
-from sedimenta.sources.manifest import replay
+from sedimenta.sources.hfs import Hfs, shared_dir
+from sedimenta.sources.manifest import RunEntry, apply_changes, prune, replay
 from sedimenta.sources.runs import read_runs, run_stats
-from sedimenta.sources.wal import replay_order
+from sedimenta.sources.wal import Wal
 from sedimenta.store import Store
 from sedimenta.streaming.ingest import write_stream
 
@@ -155,11 +155,6 @@ def merge_two_prefer_a(spark, sf_dir):
 
 
 def run_scan(spark, sf_dir):
-    log = kvlog(spark, sf_dir)
-    return _with_deletes(latest(log.where("run = 0")).orderBy("key"))
-
-
-def run_scan_every_run(spark, sf_dir):
     """Every run's scan: the newest version of each of its keys, with the run's number."""
     log = kvlog(spark, sf_dir)
     newest = latest(log.withColumn("key", F.struct("run", "key"))).select("key.run", "key.key", "value", "is_tombstone")
@@ -174,8 +169,22 @@ def _tables(spark, sf_dir):
     return kvlog(spark, sf_dir).groupBy("run", F.substring("key", 1, 7).alias("b")).agg(F.min("key").alias("mn"), F.max("key").alias("mx"))
 
 
+PRUNE_LOW, PRUNE_HIGH = "00000035", "00000052"
+
+
+def _entries(tables: DataFrame, level) -> list[RunEntry]:
+    """Manifest entries of table ranges (run, b, mn, mx); a manifest is small, as there is one entry a run."""
+    return [RunEntry(f"{r['run']}:{r['b']}", level(r), "", r["mn"].encode(), r["mx"].encode(), 1, 1, r["run"], r["run"]) for r in tables.collect()]
+
+
 def run_prune(spark, sf_dir):
-    return _tables(spark, sf_dir).where("mx >= '00000035' and mn <= '00000052'")
+    """The runs that the manifest's filter leaves for a key range, of those that a table has."""
+    store = Store.open(spark, Options(root=f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"))
+    tables = _tables(spark, sf_dir)
+    snapshot = store.manifest.commit(store.snapshot(), runs=apply_changes((), _entries(tables, lambda r: 0)))
+    kept = prune(snapshot.runs, Bound.included(PRUNE_LOW.encode()), Bound.included(PRUNE_HIGH.encode()))
+    rows = [(int(r.id.split(":")[0]), r.id.split(":")[1], r.min_key.decode(), r.max_key.decode()) for r in kept]
+    return spark.createDataFrame(rows, "run long, b string, mn string, mx string")
 
 
 def _keys(spark, sf_dir):
@@ -189,14 +198,7 @@ def seek_lower_bound(spark, sf_dir):
 
 
 def block_index_asof(spark, sf_dir):
-    keys = _keys(spark, sf_dir)
-    number = F.col("key").cast("long")
-    index, probes = keys.where(number % 7 == 3), keys.where(number % 10 == 1).select(F.col("key").alias("probe"))
-    return ops.floor_index(index, probes).select("probe", F.col("key").alias("first_key"))
-
-
-def block_index_asof_every_key(spark, sf_dir):
-    """The block of every key, the index keys' own too."""
+    """The block of every key; every seventh key or so begins one."""
     keys = _keys(spark, sf_dir)
     index = keys.where(F.col("key").cast("long") % 7 == 3)
     return ops.floor_index(index, keys.select(F.col("key").alias("probe"))).select("probe", F.col("key").alias("first_key"))
@@ -217,17 +219,26 @@ def level_scores(spark, sf_dir):
 
 
 def compact_inputs(spark, sf_dir):
-    """Level 0 (the tables of run 0 below a key) and what it overlaps in level 1 (those of run 1)."""
-    t = _tables(spark, sf_dir)
-    upper = t.where("run = 0 and mn <= '00000050'")
-    span = upper.agg(F.min("mn").alias("lo"), F.max("mx").alias("hi"))
-    lower = t.where("run = 1").join(F.broadcast(span)).where("mx >= lo and mn <= hi").select(*t.columns)
-    return upper.unionAll(lower).select(F.col("run").alias("level"), "mn", "mx")
+    """Level 0 (the tables of run 0 below a key) and what it overlaps in level 1 (those of run 1), as compaction picks them."""
+    tables = _tables(spark, sf_dir).where("run = 1 or (run = 0 and mn <= '00000050')")
+    runs = _entries(tables, lambda r: r["run"])
+    inputs = policy.pick_inputs(runs, 0)
+    rows = [(r.level, r.min_key.decode(), r.max_key.decode()) for r in (*inputs.upper, *inputs.lower)] if inputs else []
+    return spark.createDataFrame(rows, "level long, mn string, mx string")
 
 
 def wal_replay(spark, sf_dir):
-    """The log as replay sees it, with each write's place."""
-    return replay_order(kvlog(spark, sf_dir)).select("seq", F.col("key").alias("k"), F.col("value").alias("v"))
+    """The log written to a write-ahead log and read back from its segments."""
+    wal = Wal(Hfs(spark, f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"))
+    batch: list = []
+    for r in kvlog(spark, sf_dir).orderBy("seq").toLocalIterator():  # a partition at a time, as a client writes it
+        batch.append((r["seq"] + 1, [(r["key"].encode(), None if r["is_tombstone"] else r["value"].encode())]))
+        if len(batch) == 2000:
+            wal.append(batch)
+            batch = []
+    wal.append(batch)
+    log = wal.frame(spark)
+    return log.orderBy("seq", "ord").select((F.col("seq") - 1).alias("seq"), F.col("key").cast("string").alias("k"), F.col("value").cast("string").alias("v"))
 
 
 def bloom_no_false_negative(spark, sf_dir):
@@ -283,12 +294,10 @@ QUERIES = {
     "merge_k_way": merge_k_way,
     "merge_two_prefer_a": merge_two_prefer_a,
     "run_scan": run_scan,
-    "run_scan_every_run": run_scan_every_run,
     "run_stats": run_statistics,
     "run_prune": run_prune,
     "seek_lower_bound": seek_lower_bound,
     "block_index_asof": block_index_asof,
-    "block_index_asof_every_key": block_index_asof_every_key,
     "manifest_replay": manifest_replay,
     "level_scores": level_scores,
     "compact_inputs": compact_inputs,
@@ -344,20 +353,24 @@ ORACLES = {
     "compact_is_invisible": _VIS,
     "merge_k_way": _LOG + f"select k, nullif(v, '') as v, v = '' as deleted from (select *, row_number() over (partition by k order by run % 4 desc) as best from {_PER_RUN.format(n=4)} where rn = 1) where best = 1",
     "merge_two_prefer_a": _LOG + f"select k, nullif(v, '') as v, v = '' as deleted from (select *, row_number() over (partition by k order by run % 2) as best from {_PER_RUN.format(n=2)} where rn = 1) where best = 1",
-    "run_scan": _LOG + f"select k, nullif(v, '') as v, v = '' as deleted from {_PER_RUN.format(n=1000000)} where rn = 1 and run = 0",
-    "run_scan_every_run": _LOG + "select run, k, nullif(v, '') as v, v = '' as deleted from (select *, row_number() over (partition by run, k order by seq desc) as rn from kvlog) where rn = 1",
+    "run_scan": _LOG + "select run, k, nullif(v, '') as v, v = '' as deleted from (select *, row_number() over (partition by run, k order by seq desc) as rn from kvlog) where rn = 1",
     "run_stats": _LOG + "select run, min(k) as min_key, max(k) as max_key, count(*) as entries, cast(sum(octet_length(encode(k)) + octet_length(encode(v)) + 4) as bigint) as bytes from kvlog group by run",
     "run_prune": _LOG + "select run, b, mn, mx from tables where mx >= '00000035' and mn <= '00000052'",
     "seek_lower_bound": _LOG + "select p.k || '!' as probe, min(t.k) as k from keys p join keys t on t.k >= p.k || '!' group by 1",
-    "block_index_asof": _LOG + "select p.k as probe, coalesce(max(i.k), (select min(k) from keys where cast(k as bigint) % 7 = 3)) as first_key from keys p left join (select k from keys where cast(k as bigint) % 7 = 3) i on i.k <= p.k where cast(p.k as bigint) % 10 = 1 group by p.k",
-    "block_index_asof_every_key": _LOG + "select p.k as probe, coalesce(max(i.k), (select min(k) from keys where cast(k as bigint) % 7 = 3)) as first_key from keys p left join (select k from keys where cast(k as bigint) % 7 = 3) i on i.k <= p.k group by p.k",
+    "block_index_asof": _LOG + "select p.k as probe, coalesce(max(i.k), (select min(k) from keys where cast(k as bigint) % 7 = 3)) as first_key from keys p left join (select k from keys where cast(k as bigint) % 7 = 3) i on i.k <= p.k group by p.k",
     "manifest_replay": _LOG + "select id, level from live",
     "level_scores": _LOG + "select *, score > 1 as due from (select level, files, bytes, greatest(bytes / (100000.0::double * power(10.0::double, level)), files / power(2.0::double, level + 1)) as score from (select level, count(*) as files, cast(sum((id + 1) * 1000) as bigint) as bytes from live where level < 5 group by level))",
-    "compact_inputs": _LOG + ", upper0 as (select run, mn, mx from tables where run = 0 and mn <= '00000050') select run as level, mn, mx from upper0 union all select run, mn, mx from tables where run = 1 and mx >= (select min(mn) from upper0) and mn <= (select max(mx) from upper0)",
+    "compact_inputs": _LOG + ", upper0 as (select run, mn, mx from tables where run = 0 and mn <= '00000050') select run as level, mn, mx from upper0 union all select t.run, t.mn, t.mx from tables t where t.run = 1 and exists (select 1 from upper0 u where t.mx >= u.mn and t.mn <= u.mx)",
     "wal_replay": _LOG + "select seq, k, nullif(v, '') as v from kvlog",
     "bloom_no_false_negative": _VIS,
     "codec_none": _VIS,
     "codec_snappy": _VIS,
     "codec_lz4": _VIS,
     "stream_group_commit": _VIS,
+    # CRC-32 by its definition: a table of 256 remainders, a byte at a time. Keys and values are ASCII.
+    "checksum_rows": _LOG + """, crc_table as (
+        select list(list_reduce(list_concat([i], range(8)), lambda c, x: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by i) as t from range(256) r(i)),
+    bytes as (select seq, concat(k, ':', cast(octet_length(encode(k)) as varchar), ':', v) as s from kvlog)
+    select seq, xor(list_reduce(list_concat([4294967295::bigint], list_transform(range(1, length(s) + 1), lambda i: cast(ord(substr(s, i, 1)) as bigint))), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) as crc
+    from bytes, crc_table""",
 }

@@ -26,6 +26,16 @@ def test_query(spark, sf, duck, name):
         assert rows == sorted(repr(tuple(r[i] for i in at)) for r in want.fetchall())
 
 
+def test_checksums_are_crc_32(spark, sf):
+    import zlib
+
+    from sedimenta.queries import kvlog
+
+    rows = {r["seq"]: (r["key"], r["value"] or "") for r in kvlog(spark, sf).collect()}
+    got = QUERIES["checksum_rows"](spark, sf).collect()
+    assert len(got) == len(rows) and all(r["crc"] == zlib.crc32(f"{k}:{len(k)}:{v}".encode()) for r in got for k, v in [rows[r["seq"]]])
+
+
 def test_contract(spark):
     import __spark_entry__ as e
 
@@ -41,10 +51,10 @@ def test_whole_table_scans_and_probes(spark):
     for e in sorted(events, key=lambda e: e["event_id"]):
         gone = e["event_type"] == "error"
         newest[e["event_id"] // 2500, f"{e['user_id']:08d}"] = (None if gone else f"{e['event_type']}:{e['event_id']}", gone)
-    got = QUERIES["run_scan_every_run"](spark, sf).collect()
+    got = QUERIES["run_scan"](spark, sf).collect()
     assert len({run for run, _ in newest}) == 4
     assert [(r["run"], r["k"], r["v"], r["deleted"]) for r in got] == [(*k, *v) for k, v in sorted(newest.items())]
     keys = sorted({k for _, k in newest})
     index = [k for k in keys if int(k) % 7 == 3]
-    got = QUERIES["block_index_asof_every_key"](spark, sf).collect()
+    got = QUERIES["block_index_asof"](spark, sf).collect()
     assert sorted((r["probe"], r["first_key"]) for r in got) == [(k, max((i for i in index if i <= k), default=index[0])) for k in keys]
