@@ -5,9 +5,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sedimenta.llm import exact_dedup, jaccard, mixing, packing, queries, toxicity
-from sedimenta.sources.hfs import shared_dir, stage_table
+from sedimenta.sources.hfs import drop_table, shared_dir, shuffles_dropped, stage_table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,9 +24,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents tied by five-word shingles with a similarity of 0.8 or more the smallest id stays."""
     groups = jaccard.similar_groups(docs, words=5, num=80, den=100)
-    gone, _ = stage_table(groups.where("component_id <> doc_id").selectExpr("doc_id as gone_id").distinct(), "gone")
+    gone, _ = stage_table(groups.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone_id")).distinct(), "gone")
     gone = gone.hint("shuffle_hash")
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["_gone_id"], "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,15 +47,19 @@ STAGES = [
     ("best-fit packing", pack_sequences),
 ]
 
-#: SQL can't express the classifier, nor the tokenizer; tests hold the stages against brute force.
+#: SQL can't express the classifier, nor the tokenizer; tests hold the stages, and all of :func:`run`, against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each one's result is written to the shared folder and read again by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     root = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(f"{root}/{k}")
-        docs = spark.read.parquet(f"{root}/{k}")
+        path = f"{root}/{k}"
+        with shuffles_dropped(spark):
+            stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(path)
+        if last:
+            drop_table(spark, last)
+        docs, last = spark.read.parquet(path), path
     return docs
