@@ -150,7 +150,7 @@ def fit(labelled: DataFrame, sample_rows: int = 20_000, exceptions: list[str] =
 
     Entries are counted on the executors; the driver gets those that tell toxic rows, and for each
     sampled row which of those it has. All that add enough are taken. Rows with a null label aren't used. ``seed_lexicon`` is used
-    beside what is learned. No rows give every text the score of a row without hits.
+    beside what is learned. No rows give every text a score of 0.25.
     """
     # The sample is read several times, so it is written once; its size is bounded.
     rows, path = stage_table(bounded_sample(labelled.where("label in (0, 1)"), "id", sample_rows).select("text", F.col("label").cast("int").alias("label"), crc_mod("id", 4).cast("int").alias("fold")), "labelled")
@@ -203,7 +203,10 @@ def fit(labelled: DataFrame, sample_rows: int = 20_000, exceptions: list[str] =
     got = calibrate.select("text", "label").mapInArrow(measure, "label int, x array<double>").collect()
     x = np.array([r["x"] for r in got], float).reshape(-1, Matcher.FEATURES)
     drop_table(labelled.sparkSession, path)
-    return {"lexicon": lexicon, "exceptions": list(exceptions), "calibration": fit_logistic(x, np.array([r["label"] for r in got]))}
+    y = np.array([r["label"] for r in got])
+    if not len(y):  # nothing is known, so nothing is toxic
+        x, y = np.zeros((1, Matcher.FEATURES)), np.zeros(1)
+    return {"lexicon": lexicon, "exceptions": list(exceptions), "calibration": fit_logistic(x, y)}
 
 
 def _cover(rows: list[tuple[int, list[int]]], names: list[str], least: int) -> list[int]:

@@ -407,15 +407,25 @@ def test_samples_are_bounded_with_repeated_and_null_ids(spark):
     assert sorted((r["id"], r["text"], r["label"]) for r in labelled_rows(docs, labels, "toxic", n).collect()) == [(7, "a", 1), (7, "b", 1), (8, "d", 1)]
 
 
-def test_pipeline_stages_keep_the_columns(spark, docs):
-    import corpus_pipeline as p
-
-    sf = "/root/testdata/sf0.01"  # sf0.001 has too few labels to learn from
-
-    given = spark.read.parquet(f"{sf}/documents.parquet")
-    clean = p.drop_toxic(spark, given, sf)
-    assert clean.columns == given.columns and clean.count() < given.count()
-    near = spark.createDataFrame(near_copies(), "doc_id long, text string")
-    kept = Counter(r["doc_id"] for r in p.drop_near_copies(spark, near, sf).collect())
-    component = {x[0]: x[2] for x in brute_groups(near_copies(), 5, 80, 100)}
-    assert kept == Counter(r[0] for r in near_copies() if r[0] is None or r[0] == component.get(r[0]))
+def test_jaccard_takes_empty_tables_and_clashing_columns(spark, docs, none):
+    assert jaccard.similar_groups(none).count() == 0
+    got = jaccard.similar_groups(docs.withColumns({c: F.lit("x") for c in ("id", "n", "s1", "key", "keys", "node", "component", "u", "v")}), 3, 90, 100)
+    assert sorted((r[0] if r[0] is not None else -1, r[1], r[2] if r[2] is not None else -1) for r in got.collect()) == brute_groups([(d[0], d[1]) for d in DOCS], 3, 90, 100)
+
+
+def test_the_packing_query_gives_every_document(spark, sf):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(queries.tokenizer_path())
+    got = {}
+    for r in queries.op8_packing(spark, sf).collect():
+        got.setdefault(r["doc_id"], []).append((r["piece"], r["start"], r["length"], r["ids_crc32"]))
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    assert set(got) == {d["doc_id"] for d in docs}
+    for d in docs:
+        ids = np.array([*tokenizer.encode(d["text"] or "", add_special_tokens=False).ids, 2], "<u4")
+        at = 0
+        for k, (piece, start, length, crc) in enumerate(sorted(got[d["doc_id"]])):
+            assert (piece, start) == (k, at) and crc == zlib.crc32(ids[at : at + length].tobytes()) and (length == 1024 or k == 0)
+            at += length
+        assert at == len(ids)
