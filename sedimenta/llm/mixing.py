@@ -7,7 +7,8 @@ order, end to end; a seeded permutation of its blocks says which are taken once
 
 Everything is DataFrame functions over (id, source, size): texts are only counted, and hashed where
 whole documents are taken. A source is dealt into shards by a hash, as many as its documents ask for,
-so a large one isn't in one task. Whole documents are taken by rounding the running sum of their shares
+so a large one isn't in one task. Sources themselves, a row each, are ranked in one task: up to some millions
+of them are meant. Whole documents are taken by rounding the running sum of their shares
 through each shard, largest first; smaller ones then make up for what that leaves over.
 """
 
