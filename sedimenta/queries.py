@@ -233,7 +233,7 @@ def wal_replay(spark, sf_dir):
     batch: list = []
     for r in kvlog(spark, sf_dir).orderBy("seq").toLocalIterator():  # a partition at a time, as a client writes it
         batch.append((r["seq"] + 1, [(r["key"].encode(), None if r["is_tombstone"] else r["value"].encode())]))
-        if len(batch) == 2000:
+        if len(batch) == 20_000:
             wal.append(batch)
             batch = []
     wal.append(batch)
