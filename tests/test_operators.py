@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from sedimenta.functions.bloom import KeyFilter
 from sedimenta.functions.entries import decode_entries, encode_entry, frame, frames
 from sedimenta.operators import compact as policy
 from sedimenta.operators import read as ops
@@ -74,6 +75,32 @@ def entry(i, level, low, high, size=10, seq=1):
     return RunEntry(i, level, "p", low, high, 1, size, seq, seq)
 
 
+def test_a_group_is_cut_by_key_range_and_nothing_is_left_out():
+    group = [entry(str(i), i % 2, f"{3 * i:03d}".encode(), f"{3 * i + 10:03d}".encode(), size=100 + i) for i in range(30)]
+    for parts in (1, 3, 4, 100):
+        got = policy.sub_ranges(group, parts)
+        assert got[0][0] == b"000" and got[-1][1:] == (b"097", True) and all(a[1] == b[0] and not a[2] for a, b in zip(got, got[1:]))
+        assert len(got) <= parts + 1 or parts == 100
+    assert policy.sub_ranges([entry("a", 0, b"k", b"k")], 4) == [(b"k", b"k", True)]
+
+
+def test_groups_share_no_key():
+    runs = [entry("a", 0, b"a", b"c"), entry("b", 1, b"c", b"d"), entry("c", 0, b"e", b"g"), entry("d", 1, b"f", b"f"), entry("e", 0, b"x", b"x"), entry("f", 1, b"h", b"i")]
+    got = policy.pick_inputs(runs, 0)
+    assert [[r.id for r in g] for g in got.groups()] == [["a", "b"], ["c", "d"], ["e"]]
+    assert policy.pick_inputs(runs, 1) is not None and [r.id for g in policy.pick_inputs(runs, 1).groups() for r in g] == ["b", "d", "f"]
+
+
+def test_bloom_filter_misses_no_key_and_errs_seldom(spark):
+    keys = spark.range(1000).select(F.concat(F.lit("key_"), F.col("id").cast("string")).alias("key"))
+    made = KeyFilter.build(keys, 1000, 0.01)
+    for f in (made, KeyFilter.from_bytes(spark, made.to_bytes())):
+        assert all(f.may_contain(f"key_{i}") for i in range(1000))
+        assert sum(f.may_contain(f"key_{i}") for i in range(20_000, 30_000)) <= 150
+    with pytest.raises(ValueError):
+        KeyFilter.build(keys, 1000, 0.0)
+
+
 def test_input_choice_and_scores():
     runs = [entry("a", 0, b"a", b"f", seq=1), entry("b", 0, b"d", b"k", seq=2), entry("c", 1, b"j", b"m"), entry("d", 1, b"x", b"z")]
     got = policy.pick_inputs(runs, 0)
