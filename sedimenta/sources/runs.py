@@ -26,7 +26,8 @@ def write_runs(rows: DataFrame, fs: Hfs, o: Options, level: int, files: int | No
     dealt = rows.repartitionByRange(files, "key") if files else rows.repartitionByRange("key")
     writer = dealt.sortWithinPartitions("key").write.option("compression", o.compression).option("parquet.block.size", o.row_group_bytes)
     if o.false_positive_rate is not None:
-        writer = writer.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.fpp#key", str(o.false_positive_rate))
+        # Sized by the keys that a file has, not by the most that it could have.
+        writer = writer.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.adaptive.enabled", "true").option("parquet.bloom.filter.candidates.number#key", "16").option("parquet.bloom.filter.max.bytes", str(8 << 20)).option("parquet.bloom.filter.fpp#key", str(o.false_positive_rate))
     writer.parquet(path)
     return describe_runs(rows.sparkSession, fs, path, level)
 
