@@ -253,7 +253,9 @@ def similar_groups(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10,
     pairs = stars.join(hub, stars["hub"] == hub["s1_u"]).join(other, stars["s1"] == other["s1_v"]).select("id_u", "id_v", "n_u", "n_v", "bits_u", "bits_v")
     allowed = t.put("allowed", pairs.mapInArrow(_allowing(num, den), "u long, v long, n_u long, n_v long").distinct())
     t.drop("stars")
-    links = t.put("links", _star_links(keep, allowed, words, num, den, tile_shingles).distinct())
+    blocks = t.put("blocks", allowed.groupBy("u").agg(F.ceil(F.sum("n_v") / F.lit(tile_shingles)).cast("int").alias("blocks"), F.sum("n_v").alias("all")))
+    links = t.put("links", _star_links(keep, allowed, blocks, words, num, den, tile_shingles).distinct())
+    t.drop("blocks")
     own = sizes.where("n > 0 and id is not null")
     reps = t.put("reps", own.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("rows")).where("rows > 1"))
     copies = t.put("copies", own.join(reps.hint("shuffle_hash"), ["n", "s1", "s2"]).where("id <> rep").select(F.col("rep").alias("u"), F.col("id").alias("v")).distinct())
@@ -327,16 +329,15 @@ def _shingled(keep: DataFrame, placed: DataFrame, words: int, columns: list[str]
     return texts.mapInArrow(lean("jaccard", shingle), f"{kinds}, shingles binary")
 
 
-def _star_links(keep: DataFrame, allowed: DataFrame, words: int, num: int, den: int, tile_shingles: int) -> DataFrame:
-    """Links (u, v) among the pairs of hubs u and others v: each hub's others lie in blocks, and it is in each of them."""
-    blocks = allowed.groupBy("u").agg(F.ceil(F.sum("n_v") / F.lit(tile_shingles)).cast("int").alias("blocks"), F.sum("n_v").alias("all"))
-    total = allowed.agg(F.sum("n_v")).first()[0] or 0
+def _star_links(keep: DataFrame, allowed: DataFrame, blocks: DataFrame, words: int, num: int, den: int, tile_shingles: int) -> DataFrame:
+    """Links (u, v) among the pairs of hubs u and others v: each hub's others lie in its ``blocks``, and it is in each of them."""
+    total = blocks.agg(F.sum("all")).first()[0] or 0
     buckets = max(1, -(-4 * total // tile_shingles))
     # Small hubs share a task.
     bucket = F.when(F.col("blocks") > 1, F.col("u")).otherwise(F.pmod(F.xxhash64("u"), F.lit(buckets)))
     hubs = blocks.select(F.col("u").alias("node"), F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.col("u").alias("hub"), bucket.alias("bucket"), (F.col("blocks") > 1).alias("alone"), k.alias("block")))).alias("tile"))
     block = F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")
-    others = allowed.join(blocks, "u").select(F.col("v").alias("node"), F.struct(F.col("u").alias("hub"), bucket.alias("bucket"), (F.col("blocks") > 1).alias("alone"), block.alias("block")).alias("tile"))
+    others = allowed.join(blocks.hint("shuffle_hash"), "u").select(F.col("v").alias("node"), F.struct(F.col("u").alias("hub"), bucket.alias("bucket"), (F.col("blocks") > 1).alias("alone"), block.alias("block")).alias("tile"))
     placed = hubs.unionAll(others).groupBy("node").agg(F.collect_list("tile").alias("tiles"))
     rows = _shingled(keep, placed, words, ["node", "tiles"]).select("node", F.explode("tiles").alias("tile"), "shingles").select("node", "tile.*", "shingles")
 
@@ -361,7 +362,7 @@ def _cluster_links(keep: DataFrame, members: DataFrame, rest: DataFrame, labelle
     some = some.join(labelled, "s1").select("key", "id", "n", "bits", "label", (F.col("label") == F.col("main")).alias("is_main"))
     some = t.put("ties", some)
     counts = some.groupBy("key", "is_main").agg(F.count("*").alias("sets"))
-    blocks = counts.groupBy("key").agg(*[F.ceil(F.coalesce(F.max(F.when(F.col("is_main") == m, F.col("sets"))), F.lit(0)) / F.lit(block_sets)).cast("int").alias(c) for m, c in ((True, "mains"), (False, "odds"))])
+    blocks = t.put("blocks", counts.groupBy("key").agg(*[F.ceil(F.coalesce(F.max(F.when(F.col("is_main") == m, F.col("sets"))), F.lit(0)) / F.lit(block_sets)).cast("int").alias(c) for m, c in ((True, "mains"), (False, "odds"))]))
     small = F.pmod(F.xxhash64("key"), F.lit(max(1, -(-some.count() // block_sets))))
     own = F.pmod(F.xxhash64("id"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("odds"))).cast("int")
     alone = (F.col("mains") > 1) | (F.col("odds") > 1)
@@ -374,7 +375,7 @@ def _cluster_links(keep: DataFrame, members: DataFrame, rest: DataFrame, labelle
 
     odd = F.concat(F.transform(upto(F.col("odds")), lambda k: tile(0, F.least(k, F.col("own")), F.greatest(k, F.col("own")), k < F.col("own"))), F.transform(upto(F.col("mains")), lambda k: tile(1, F.col("own"), k, F.lit(0))))
     tiles = F.when(~alone, F.array(tile(2, F.lit(0), F.lit(0), F.lit(0)))).when(F.col("is_main"), F.transform(upto(F.col("odds")), lambda k: tile(1, k, F.col("own"), F.lit(1)))).otherwise(odd)
-    placed = some.join(blocks, "key").withColumn("own", own).select("key", "id", "n", "bits", "label", F.when(alone, F.col("key")).otherwise(small).alias("bucket"), F.explode(tiles).alias("tile")).select("key", "id", "n", "bits", "label", "bucket", "tile.*")
+    placed = some.join(blocks.hint("shuffle_hash"), "key").withColumn("own", own).select("key", "id", "n", "bits", "label", F.when(alone, F.col("key")).otherwise(small).alias("bucket"), F.explode(tiles).alias("tile")).select("key", "id", "n", "bits", "label", "bucket", "tile.*")
 
     def tie(table: pa.Table) -> pa.Table:
         key, ids, n, label, left = (table.column(c).to_numpy() for c in ("key", "id", "n", "label", "left"))
@@ -394,22 +395,23 @@ def _cluster_links(keep: DataFrame, members: DataFrame, rest: DataFrame, labelle
     sized = near.join(some.groupBy("id").agg(F.max("n").alias("n"), F.min("label").alias("label")), F.col("node") == F.col("id")).select("node", "component", "n", "label")
     sized = t.put("clusters", sized)
     drop_table(spark, path)
-    t.drop("apart", "ties", "tied")
-    links = t.put("found", _verified(keep, sized, words, num, den, tile_shingles))
-    t.drop("clusters")
+    t.drop("apart", "ties", "tied", "blocks")
+    links = t.put("found", _verified(t, keep, sized, words, num, den, tile_shingles))
+    t.drop("clusters", "whole", "sized", "cut")
     return links
 
 
-def _verified(keep: DataFrame, near: DataFrame, words: int, num: int, den: int, tile_shingles: int) -> DataFrame:
+def _verified(t: _Staged, keep: DataFrame, near: DataFrame, words: int, num: int, den: int, tile_shingles: int) -> DataFrame:
     """Links (u, v) that connect labels within the clusters ``near`` (node, component, n, label), by tiles of size bands."""
     ratio = float(np.log(den / num)) * 1.0001  # a little wider than need be, against rounding
     labels = near.groupBy("component", "label").agg(F.sum("n").alias("words"), F.count("*").alias("sets"))
-    whole = labels.groupBy("component").agg(F.max_by("label", "words").alias("main"), F.sum("words").alias("total"), F.count("*").alias("labels")).where("labels > 1").select("component", "main", "total")
-    sized = near.join(whole, "component").withColumns({"band": F.when(F.col("total") <= tile_shingles, 0).otherwise(F.floor(F.log("n") / F.lit(ratio))).cast("int"), "odd": F.when(F.col("total") <= tile_shingles, 1).otherwise((F.col("label") != F.col("main")).cast("int"))})
+    whole = t.put("whole", labels.groupBy("component").agg(F.max_by("label", "words").alias("main"), F.sum("words").alias("total"), F.count("*").alias("labels")).where("labels > 1").select("component", "main", "total"))
+    sized = near.join(whole.hint("shuffle_hash"), "component").withColumns({"band": F.when(F.col("total") <= tile_shingles, 0).otherwise(F.floor(F.log("n") / F.lit(ratio))).cast("int"), "odd": F.when(F.col("total") <= tile_shingles, 1).otherwise((F.col("label") != F.col("main")).cast("int"))})
+    sized = t.put("sized", sized)
     # A cluster that fits a tile is one block. Of a larger one each band's odd and main sets are cut into blocks.
     cut = sized.groupBy("component", "band", "odd").agg(F.ceil(F.sum("n") / F.when(F.max("total") <= tile_shingles, tile_shingles).otherwise(max(1, tile_shingles // 2))).cast("int").alias("blocks"))
-    cut = cut.groupBy("component").agg(F.collect_list(F.struct("band", "odd", "blocks")).alias("cut"))  # a few for each band
-    cut = sized.join(cut, "component")
+    cut = t.put("cut", cut.groupBy("component").agg(F.collect_list(F.struct("band", "odd", "blocks")).alias("cut")))  # a few for each band
+    cut = sized.join(cut.hint("shuffle_hash"), "component")
     mine = F.filter("cut", lambda c: (c["band"] == F.col("band")) & (c["odd"] == F.col("odd")))[0]["blocks"]
     cut = cut.withColumn("own", F.struct(F.col("band").alias("band"), F.col("odd").alias("odd"), F.pmod(F.xxhash64("node"), mine).cast("int").alias("k")))
     near_by = F.filter("cut", lambda c: (F.abs(c["band"] - F.col("band")) <= 1) & (c["odd"] + F.col("odd") > 0))
