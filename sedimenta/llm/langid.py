@@ -8,7 +8,9 @@ whole text wins; the score is its share of the likelihood.
 
 from __future__ import annotations
 
+import pickle
 import uuid
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -76,15 +78,33 @@ def _split(batches):
     yield from _flush(counts)
 
 
-def _table(counted: DataFrame, langs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All entries end to end as code points, their lengths, and their counts by language."""
+def _table(counted: DataFrame, langs: list[str]) -> tuple[list[str], np.ndarray]:
+    """All entries, and their counts by language."""
     got = counted.toArrow().sort_by([("gram", "ascending"), ("lang", "ascending")]).combine_chunks()
     coded = got.column("gram").combine_chunks().dictionary_encode()
     names = coded.dictionary.to_pylist()
     counts = np.zeros((len(names), len(langs)))
     code = {x: k for k, x in enumerate(langs)}
     counts[coded.indices.to_numpy(), [code[x] for x in got.column("lang").to_pylist()]] = got.column("n").to_numpy()
-    return np.frombuffer("".join(names).encode("utf-32-le"), "<u4"), np.array([len(x) for x in names], np.int64), counts
+    return names, counts
+
+
+def _scores(names: list[str], counts: np.ndarray, by_length: bool) -> np.ndarray:
+    """Smoothed log frequencies by language, among all entries or among those of one length."""
+    length = np.array([len(x) if by_length else 0 for x in names], np.int64)
+    size = np.zeros((_LONGEST + 1, counts.shape[1]))
+    np.add.at(size, length, counts)
+    return np.log((counts + 0.1) / (size[length] + 0.1 * (len(names) + 1))).astype(np.float32)
+
+
+def _packed(names: list[str], counts: np.ndarray) -> bytes:
+    # Mostly zeros and small numbers: a tenth of what it stands for.
+    return zlib.compress(pickle.dumps(("\0".join(names), counts.astype(np.int64))), 1)
+
+
+def _unpacked(data: bytes) -> tuple[list[str], np.ndarray]:
+    names, counts = pickle.loads(zlib.decompress(data))
+    return names.split("\0") if len(counts) else [], counts.astype(float)
 
 
 def fit(train: DataFrame, sample_rows: int = 20_000, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> dict:
@@ -96,24 +116,22 @@ def fit(train: DataFrame, sample_rows: int = 20_000, text_col: str = "text", lan
     rows = bounded_sample(train.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")), "id", sample_rows)
     words, path = stage_table(rows.select("text", "lang").mapInArrow(lean("language", _count), _SCHEMA).groupBy("lang", "gram").agg(F.sum("n").alias("n")), "words")
     langs = sorted(r["lang"] for r in words.select("lang").distinct().collect())
-    flat, length, counts = _table(words, langs)
-    size = counts.sum(axis=0)
-    word_scores = np.log((counts + 0.1) / (size + 0.1 * (len(length) + 1)))
-    g_flat, g_length, counts = _table(words.mapInArrow(lean("language", _split), _SCHEMA).groupBy("lang", "gram").agg(F.sum("n").alias("n")), langs)
-    size = np.stack([counts[g_length == k].sum(axis=0) for k in range(1, _LONGEST + 1)])
-    gram_scores = np.log((counts + 0.1) / (size[g_length - 1] + 0.1 * (len(g_length) + 1)))
+    known = _packed(*_table(words, langs))
+    parts = _packed(*_table(words.mapInArrow(lean("language", _split), _SCHEMA).groupBy("lang", "gram").agg(F.sum("n").alias("n")), langs))
     drop_table(train.sparkSession, path)
-    return {"langs": langs, "words": (flat, length, word_scores.astype(np.float32)), "grams": (g_flat, g_length, gram_scores.astype(np.float32))}
+    return {"langs": langs, "words": known, "grams": parts}
 
 
 class _Known:
     """The model's entries, found by their characters."""
 
-    def __init__(self, flat: np.ndarray, length: np.ndarray, scores: np.ndarray):
-        self.memo = Memo()
-        ends = np.cumsum(length)
-        self.scores = np.zeros_like(scores)
-        self.scores[self.memo.rows(flat, ends - length, ends, lambda at: None, 1 << 62)] = scores
+    def __init__(self, data: bytes, by_length: bool):
+        names, counts = _unpacked(data)
+        scores = _scores(names, counts, by_length)
+        ends = np.cumsum([len(x) for x in names], dtype=np.int64)
+        starts = np.append(0, ends[:-1]) if len(ends) else ends
+        self.memo, self.scores = Memo(), np.zeros_like(scores)
+        self.scores[self.memo.rows(np.frombuffer("".join(names).encode("utf-32-le"), "<u4"), starts, ends, lambda at: None, 1 << 62)] = scores
 
     def find(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return self.memo.lookup(values, starts, ends)
@@ -126,7 +144,7 @@ class Scorer:
 
     def __init__(self, model: dict):
         self.langs = model["langs"]
-        self.words, self.grams = _Known(*model["words"]), _Known(*model["grams"])
+        self.words, self.grams = _Known(model["words"], False), _Known(model["grams"], True)
         self.memo = Memo()
         self._forget()
 

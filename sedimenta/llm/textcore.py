@@ -166,7 +166,7 @@ class Table:
     def clear(self, bits: int = 16) -> None:
         self.mask = (1 << bits) - 1
         self.keys = np.zeros(1 << bits, U64)
-        self.rows = np.full(1 << bits, -1, np.int64)
+        self.rows = np.full(1 << bits, -1, np.int32)
         self.size = 0
 
     def find(self, h: np.ndarray) -> np.ndarray:
@@ -186,7 +186,7 @@ class Table:
         """Adds distinct hashes that the table doesn't have."""
         if (self.size + len(h)) * 2 > self.mask:
             keys, old = self.keys[self.rows >= 0], self.rows[self.rows >= 0]
-            self.clear(max(16, int(2 * (len(keys) + len(h))).bit_length() + 1))
+            self.clear(max(16, int(2 * (len(keys) + len(h))).bit_length()))
             self._put(keys, old)
         self._put(h, rows)
 
