@@ -141,6 +141,34 @@ def compact_is_invisible(spark, sf_dir):
     return _kv(store.scan())
 
 
+def store_scan_range(spark, sf_dir):
+    """A range of a table with compacted and fresh runs."""
+    store = _loaded(spark, sf_dir, 3)
+    store.compact(0)
+    store.write_df(kvlog(spark, sf_dir).where("false").select("key", "value"))
+    return _kv(store.scan(Bound.excluded(LOW.encode()), Bound.included(HIGH.encode())))
+
+
+def store_multi_get(spark, sf_dir):
+    """Every key of the table, and one beside each that was never there."""
+    keys = kvlog(spark, sf_dir).select(F.col("key").cast("binary").alias("key")).distinct()
+    asked = keys.unionAll(keys.select(F.concat(F.col("key"), F.lit(b"?")).alias("key")))
+    return _kv(_loaded(spark, sf_dir, 2).multi_get(asked))
+
+
+def store_channel(spark, sf_dir):
+    """Puts through the channel, each acknowledged, then deletes; read from the buffer alone."""
+    store = _store(spark)
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet").collect()
+    acks = [store.put_to_channel([(f"{r['n_nationkey']:04d}".encode(), r["n_name"].encode())]) for r in nation]
+    if {a.result(60) for a in acks} != set(range(1, len(nation) + 1)):
+        raise RuntimeError("a request has no version of its own")
+    for r in nation:
+        if r["n_regionkey"] == 1:
+            store.delete(f"{r['n_nationkey']:04d}".encode())
+    return _kv(store.scan())
+
+
 def merge_k_way(spark, sf_dir):
     """The newest version of each run's keys, merged newest run first."""
     log = kvlog(spark, sf_dir)
@@ -291,6 +319,9 @@ QUERIES = {
     "sync_run": sync_run,
     "compact_run": compact_run,
     "compact_is_invisible": compact_is_invisible,
+    "store_scan_range": store_scan_range,
+    "store_multi_get": store_multi_get,
+    "store_channel": store_channel,
     "merge_k_way": merge_k_way,
     "merge_two_prefer_a": merge_two_prefer_a,
     "run_scan": run_scan,
@@ -351,6 +382,9 @@ ORACLES = {
     "sync_run": "select lpad(cast(n_nationkey as varchar), 4, '0') as k, case when n_regionkey = 1 then null else n_name end as v, n_regionkey = 1 as deleted from nation",
     "compact_run": _KEPT,
     "compact_is_invisible": _VIS,
+    "store_scan_range": _VIS + f" where k > '{LOW}' and k <= '{HIGH}'",
+    "store_multi_get": _LOG + "select keys.k, vis.v from keys left join vis on keys.k = vis.k union all select k || '?', null from keys",
+    "store_channel": "select lpad(cast(n_nationkey as varchar), 4, '0') as k, n_name as v from nation where n_regionkey <> 1",
     "merge_k_way": _LOG + f"select k, nullif(v, '') as v, v = '' as deleted from (select *, row_number() over (partition by k order by run % 4 desc) as best from {_PER_RUN.format(n=4)} where rn = 1) where best = 1",
     "merge_two_prefer_a": _LOG + f"select k, nullif(v, '') as v, v = '' as deleted from (select *, row_number() over (partition by k order by run % 2) as best from {_PER_RUN.format(n=2)} where rn = 1) where best = 1",
     "run_scan": _LOG + "select run, k, nullif(v, '') as v, v = '' as deleted from (select *, row_number() over (partition by run, k order by seq desc) as rn from kvlog) where rn = 1",
