@@ -2,9 +2,10 @@
 
 Each view has a logistic classifier of its own. In every round both look at all documents, and each
 gives the *other* view's training set a number of those it is sure of, drawn from all that it is sure
-of by a hash, as many of either class as the labels have in proportion. Then each view is calibrated
-on labelled rows that trained neither, a small logistic regression combines the two calibrated views,
-and all documents are scored.
+of by a hash, as many of either class as the labels have in proportion. A view whose sure labels of a
+class don't hold on labelled rows that it wasn't trained on gives none of that class. Then each view is
+calibrated on those rows, a small logistic regression combines the two calibrated views, and all
+documents are scored.
 
 Texts are read once, to a table of features; rounds and scores read that.
 """
@@ -125,7 +126,16 @@ def _views(batch) -> dict[str, np.ndarray]:
 _OTHER = {"t": "m", "m": "t"}
 
 
-def _drawn(pool: DataFrame, models: dict, step: int, sure: float, wanted: dict[int, int]) -> dict[str, tuple[dict, np.ndarray, np.ndarray]]:
+def _trusted(p: np.ndarray, y: np.ndarray, sure: float) -> set[int]:
+    """The classes whose labels, given where scores are ``sure``, are right that often on these rows (and enough rows say so)."""
+    out = set()
+    for label, at in ((1, p >= sure), (0, p <= 1 - sure)):
+        if ((y[at] == label).sum() + 1) / (at.sum() + 2) >= sure:
+            out.add(label)
+    return out
+
+
+def _drawn(pool: DataFrame, models: dict, trusted: dict[str, set[int]], step: int, sure: float, wanted: dict[int, int]) -> dict[str, tuple[dict, np.ndarray, np.ndarray]]:
     """For each view: features, hashes and pseudo-labels of rows of ``pool`` that the other view is sure of.
 
     Of each class about ``wanted`` rows, drawn by a hash from all of them. They are counted before they are fetched.
@@ -137,7 +147,8 @@ def _drawn(pool: DataFrame, models: dict, step: int, sure: float, wanted: dict[i
         for v in ("t", "m"):
             p = sigmoid(logits(models[v], views[v]))
             for label, at in ((1, p >= sure), (0, p <= 1 - sure)):
-                yield v, label, at, order
+                if label in trusted[v]:
+                    yield v, label, at, order
 
     def count(batches):
         totals: dict[tuple[str, int], int] = {}
@@ -177,6 +188,7 @@ def fit(table: DataFrame, labels: DataFrame, label: str = "quality", sample_rows
     own = got.column("fold").to_numpy() != 0
     if own.all() or not own.any() or len(y) < 50:
         own = np.ones(len(y), bool)
+    rest = ~own if not own.all() else own
     train = {v: [x[own]] for v, x in views.items()}
     labelled = {v: [y[own]] for v in views}
     seen: dict[str, set] = {v: set() for v in views}
@@ -192,11 +204,11 @@ def fit(table: DataFrame, labels: DataFrame, label: str = "quality", sample_rows
             models[v] = fit_logistic(np.vstack(train[v]), np.concatenate(labelled[v]), weight=weight)
         if step == rounds or not len(y):
             break
-        for v, (x, h, label_of) in _drawn(pool, models, step, sure, wanted).items():
+        trusted = {v: _trusted(sigmoid(logits(models[v], x[rest])), y[rest], sure) for v, x in views.items()}
+        for v, (x, h, label_of) in _drawn(pool, models, trusted, step, sure, wanted).items():
             new = np.array([k for k, name in enumerate(h.tolist()) if name not in seen[v] and not seen[v].add(name)], np.int64)  # each row is given once
             train[v].append(x[v][new])
             labelled[v].append(label_of[new])
-    rest = ~own if not own.all() else own
     both = {v: logits(models[v], x[rest]) for v, x in views.items()}
     calibrated = {v: fit_logistic(z[:, None], y[rest]) for v, z in both.items()}
     stacked = np.stack([logits(calibrated[v], both[v][:, None]) for v in ("t", "m")], 1)

@@ -54,7 +54,11 @@ def plain_model(rows, rounds, sure, per_round):
         for v, to in (("t", "m"), ("m", "t")):
             p = sigmoid(logits(models[v], np.array([r[2][v] for r in pool])))
             new[to] = []
+            q = sigmoid(logits(models[v], np.array([r[2][v] for r, o in zip(labelled, own) if not o])))
             for label, some in ((1, p >= sure), (0, p <= 1 - sure)):
+                right = [g == label for g, x in zip(y[~own], q) if (x >= sure if label else x <= 1 - sure)]
+                if (sum(right) + 1) / (len(right) + 2) < sure:
+                    continue
                 wanted = max(1, round(per_round * (share if label else 1 - share)))
                 if some.sum() <= wanted:
                     new[to] += [(pool[k], label) for k in np.flatnonzero(some)]
@@ -96,10 +100,11 @@ def test_pseudo_labels_are_drawn_from_all_rows(spark):
     t[:, 0] = rnd.choice([-1, 0, 1], n)
     rows = pa.table({"id": range(n), "h": rnd.integers(-(2**63), 2**63 - 1, n), "t": pa.array([x.tobytes() for x in t], pa.binary()), "source": pa.array([0] * n, pa.int32()), "lang": pa.array([-1] * n, pa.int32()), "n_chars": [1.0] * n})
     pool = spark.createDataFrame(rows).repartition(7)
-    drawn = [quality._drawn(pool, models, step, 0.95, {1: 300, 0: 100}) for step in (0, 0, 1)]
+    drawn = [quality._drawn(pool, models, {"t": {0, 1}, "m": {0, 1}}, step, 0.95, {1: 300, 0: 100}) for step in (0, 0, 1)]
     views, h, y = drawn[0]["m"]
     assert 220 < y.sum() < 380 and 60 < (1 - y).sum() < 140 and len(views["m"]) == len(h) and not len(drawn[0]["t"][1])
     assert h.tolist() == drawn[1]["m"][1].tolist() != drawn[2]["m"][1].tolist()
+    assert quality._drawn(pool, models, {"t": {0}, "m": set()}, 0, 0.95, {1: 300, 0: 100})["m"][2].max() == 0
     sign = dict(zip(rows.column("h").to_pylist(), t[:, 0]))
     assert all((sign[k] > 0) == bool(c) and sign[k] for k, c in zip(h.tolist(), y))
 
