@@ -247,7 +247,9 @@ def similar_groups(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10,
     stars = t.put("stars", members.select("hub", "s1").distinct())
     t.drop("hubs")
     named = stars.select("s1").unionAll(stars.select("hub")).distinct().hint("shuffle_hash")
-    nodes = t.put("nodes", sets.select("id", "n", "s1", "s2", "bits").join(named, "s1", "left_semi").groupBy("n", "s1", "s2").agg(F.min("id").alias("id"), F.first("bits").alias("bits")))
+    # Copies are collapsed before the join, so that many of them don't meet in one task.
+    unique = sets.groupBy("n", "s1", "s2").agg(F.min("id").alias("id"), F.first("bits").alias("bits"))
+    nodes = t.put("nodes", unique.join(named, "s1", "left_semi"))
     t.drop("signed")
     hub, other = (nodes.select(*[F.col(c).alias(f"{c}_{end}") for c in ("s1", "id", "n", "bits")]) for end in ("u", "v"))
     pairs = stars.join(hub, stars["hub"] == hub["s1_u"]).join(other, stars["s1"] == other["s1_v"]).select("id_u", "id_v", "n_u", "n_v", "bits_u", "bits_v")
