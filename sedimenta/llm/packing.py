@@ -212,7 +212,7 @@ def plan_places(counts: dict[int, int], capacity: int) -> list[tuple[int, int, i
     return places
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, bucket_pieces: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, bucket_pieces: int = 1 << 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of every row.
 
     Null texts count as empty: one piece that holds ``end_id`` only. Rows with one id, equal rows and a
