@@ -9,6 +9,7 @@ features, among them the weight by length, are calibrated on labelled rows that
 
 from __future__ import annotations
 
+import heapq
 from collections import Counter
 
 import numpy as np
@@ -160,8 +161,8 @@ def fit(labelled: DataFrame, sample_rows: int = 20_000, exceptions: list[str] =
         for batch in batches:
             for text, y in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
                 counts.update((y, e) for e in entries_of(text or ""))
-            if len(counts) > 400_000:
-                yield flush(counts)
+                if len(counts) > 150_000:
+                    yield flush(counts)
         if counts:
             yield flush(counts)
 
@@ -225,13 +226,20 @@ def _cover(rows: list[tuple[int, list[int]]], names: list[str], least: int) -> l
     worth = np.ones(len(toxic))
     chosen: list[int] = []
     gain = {e: float(len(k)) for e, k in holders.items()}
-    while gain:
-        # Gains only fall, so the best by its last known gain is looked at again first. A longer entry wins over
-        # one that finds little more, as beginnings of words are more often found in harmless ones.
-        best = max(gain, key=lambda e: ((gain[e] - clean[e] * max(ratio, 0.05) * 2) * (1 + 0.01 * len(names[e])), -e))
+
+    def place(e: int) -> tuple[float, int]:
+        # A longer entry wins over one that finds little more, as beginnings of words are more often found in harmless ones.
+        return -(gain[e] - clean[e] * max(ratio, 0.05) * 2) * (1 + 0.01 * len(names[e])), e
+
+    order = [place(e) for e in gain]
+    heapq.heapify(order)
+    while order:
+        # Gains only fall, so the best by its last known gain is looked at again first.
+        best = heapq.heappop(order)[1]
         now = float(worth[holders[best]].sum())
         if now < gain[best] - 1e-9:
             gain[best] = now
+            heapq.heappush(order, place(best))
             continue
         if now - clean[best] * max(ratio, 0.05) * 2 < max(least, 0.002 * len(toxic)):
             break
