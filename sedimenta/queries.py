@@ -18,7 +18,7 @@ from sedimenta.operators.resolve import deleted, latest, merge_by_priority, merg
 from sedimenta.options import Options
 from sedimenta.plans.log import UNBOUNDED, Bound
 from sedimenta.sources.hfs import Hfs, shared_dir
-from sedimenta.sources.manifest import RunEntry, apply_changes, prune, replay
+from sedimenta.sources.manifest import RunEntry, prune_df, replay
 from sedimenta.sources.runs import read_runs, run_stats
 from sedimenta.sources.wal import Wal
 from sedimenta.store import Store
@@ -201,18 +201,20 @@ PRUNE_LOW, PRUNE_HIGH = "00000035", "00000052"
 
 
 def _entries(tables: DataFrame, level) -> list[RunEntry]:
-    """Manifest entries of table ranges (run, b, mn, mx); a manifest is small, as there is one entry a run."""
+    """Manifest entries of the table ranges (run, b, mn, mx) of a few runs, which have 2500 events each."""
     return [RunEntry(f"{r['run']}:{r['b']}", level(r), "", r["mn"].encode(), r["mx"].encode(), 1, 1, r["run"], r["run"]) for r in tables.collect()]
 
 
 def run_prune(spark, sf_dir):
-    """The runs that the manifest's filter leaves for a key range, of those that a table has."""
-    store = Store.open(spark, Options(root=f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"))
-    tables = _tables(spark, sf_dir)
-    snapshot = store.manifest.commit(store.snapshot(), runs=apply_changes((), _entries(tables, lambda r: 0)))
-    kept = prune(snapshot.runs, Bound.included(PRUNE_LOW.encode()), Bound.included(PRUNE_HIGH.encode()))
-    rows = [(int(r.id.split(":")[0]), r.id.split(":")[1], r.min_key.decode(), r.max_key.decode()) for r in kept]
-    return spark.createDataFrame(rows, "run long, b string, mn string, mx string")
+    """The runs that the manifest's filter leaves for a key range, of those that a table has: as many as the log makes, so executors hold them."""
+    manifest = _store(spark).manifest
+    one, key = F.lit(1).cast("long"), lambda c: F.col(c).cast("binary")
+    # Events without a user have no key, and a run without a key range isn't one.
+    entries = _tables(spark, sf_dir).where("mn is not null").select(F.concat_ws(":", "run", "b").alias("id"), F.lit(0).alias("level"), F.lit("").alias("path"), key("mn").alias("min_key"), key("mx").alias("max_key"), one.alias("rows"), one.alias("bytes"), F.col("run").alias("min_seq"), F.col("run").alias("max_seq"), F.lit(None).cast("long").alias("crc"))
+    manifest.commit_df(manifest.load(), entries)
+    kept = prune_df(manifest.frame(spark), Bound.included(PRUNE_LOW.encode()), Bound.included(PRUNE_HIGH.encode()))
+    text = lambda c: F.col(c).cast("string")
+    return kept.select(F.col("min_seq").alias("run"), F.substring_index("id", ":", -1).alias("b"), text("min_key").alias("mn"), text("max_key").alias("mx"))
 
 
 def _keys(spark, sf_dir):

@@ -18,6 +18,7 @@ class Hfs:
     """File system operations for one root path."""
 
     def __init__(self, spark: SparkSession, root: str):
+        self.spark = spark
         self._jvm = spark._jvm
         self._gateway = spark.sparkContext._gateway
         self._conf = spark._jsc.hadoopConfiguration()

@@ -58,3 +58,24 @@ def test_whole_table_scans_and_probes(spark):
     index = [k for k in keys if int(k) % 7 == 3]
     got = QUERIES["block_index_asof"](spark, sf).collect()
     assert sorted((r["probe"], r["first_key"]) for r in got) == [(k, max((i for i in index if i <= k), default=index[0])) for k in keys]
+
+
+@pytest.fixture()
+def sent(spark, monkeypatch):
+    """Counts the rows that DataFrames bring to the driver."""
+    rows, frame = [0], type(spark.range(0))
+    for name in ("collect", "toLocalIterator"):
+
+        def counted(self, *a, f=getattr(frame, name), **b):
+            got = list(f(self, *a, **b))
+            rows[0] += len(got)
+            return got if f.__name__ == "collect" else iter(got)
+
+        monkeypatch.setattr(frame, name, counted)
+    return rows
+
+
+def test_a_manifest_of_many_runs_is_pruned_by_the_executors(spark, sent):
+    kept = QUERIES["run_prune"](spark, "/root/testdata/sf0.01")
+    assert sent[0] <= 10  # of 60 runs
+    assert kept.count() == 12
