@@ -258,15 +258,10 @@ def compact_inputs(spark, sf_dir):
 
 
 def wal_replay(spark, sf_dir):
-    """The log written to a write-ahead log and read back from its segments."""
+    """The log written to a write-ahead log and read back from its segments, both by the executors."""
     wal = Wal(Hfs(spark, f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"))
-    batch: list = []
-    for r in kvlog(spark, sf_dir).orderBy("seq").toLocalIterator():  # a partition at a time, as a client writes it
-        batch.append((r["seq"] + 1, [(r["key"].encode(), None if r["is_tombstone"] else r["value"].encode())]))
-        if len(batch) == 20_000:
-            wal.append(batch)
-            batch = []
-    wal.append(batch)
+    if not wal.append_df(kvlog(spark, sf_dir).withColumn("seq", F.col("seq") + 1), 20_000):
+        raise RuntimeError("the log isn't new")
     log = wal.frame(spark)
     return log.orderBy("seq", "ord").select((F.col("seq") - 1).alias("seq"), F.col("key").cast("string").alias("k"), F.col("value").cast("string").alias("v"))
 

@@ -77,6 +77,13 @@ class Hfs:
         """
         tmp = f"{p.rsplit('/', 1)[0]}/.tmp-{uuid.uuid4().hex}"
         self.write(tmp, data)
+        if self.publish(tmp, p):
+            return True
+        self.delete(tmp)
+        return False
+
+    def publish(self, tmp: str, p: str) -> bool:
+        """Atomically gives a written file its name; False, and the file stays, if that name is taken."""
         files = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.path(p).toUri(), self._conf)
         none = self._gateway.new_array(getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
         try:
@@ -84,7 +91,6 @@ class Hfs:
             return True
         except Exception as e:  # noqa: BLE001 - only a lost race is an answer, all else goes on
             if "FileAlreadyExists" in str(e) or self.exists(p):
-                self.delete(tmp)
                 return False
             raise
 

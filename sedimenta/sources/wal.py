@@ -3,15 +3,24 @@
 from __future__ import annotations
 
 import struct
+import uuid
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sedimenta.functions.entries import decode_entries, encode_entry, frame, frames
 from sedimenta.plans.log import LOG_SCHEMA
-from sedimenta.sources.hfs import Hfs
+from sedimenta.sources.hfs import Hfs, shuffles_dropped
 
 Entry = tuple[bytes, bytes | None]
+#: Beyond these bytes a segment of a DataFrame takes no more batches.
+SEGMENT_BYTES = 16 << 20
+
+
+def _record(seq: int, entries: list[Entry]) -> bytes:
+    return frame(struct.pack(">q", seq) + b"".join(encode_entry(k, v) for k, v in entries))
 
 
 class Wal:
@@ -25,9 +34,57 @@ class Wal:
         """Writes batches (seq, entries) as one segment; False if another writer has that sequence number."""
         if not batches:
             return True
-        data = b"".join(frame(struct.pack(">q", seq) + b"".join(encode_entry(k, v) for k, v in entries)) for seq, entries in batches)
+        data = b"".join(_record(seq, entries) for seq, entries in batches)
         return self.fs.create_exclusive(f"{self.folder}/{batches[0][0]:020d}.log", data)
 
+    def append_df(self, rows: DataFrame, segment_batches: int = 20_000) -> bool:
+        """Writes log rows (key, value or null, seq, ord), a batch for each seq, as segments of so many batches at most.
+
+        Executors write the segments, and the driver renames them in their order: what a failure leaves is the log's
+        beginning. False, and nothing is written, if another writer has one of the sequence numbers that name them.
+        """
+
+        def segments(batches):
+            def one():
+                first = f"{struct.unpack_from('>q', records[0], 8)[0]:020d}"
+                return pa.RecordBatch.from_arrays([pa.array([first]), pa.array([b"".join(records)], pa.binary())], ["first", "data"])
+
+            flat = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("seq", "key", "value"))))
+            records: list[bytes] = []
+            size = 0
+            for seq, entries in groupby(flat, key=lambda r: r[0]):
+                batch = [(k, v) for _, k, v in entries]
+                if seq is None or not all(k for k, _ in batch):
+                    raise ValueError("empty key or sequence number")
+                record = _record(seq, batch)
+                if records and (len(records) == segment_batches or size + len(record) > SEGMENT_BYTES):
+                    yield one()
+                    records, size = [], 0
+                records.append(record)
+                size += len(record)
+            if records:
+                yield one()
+
+        spark, staged = rows.sparkSession, f"{self.folder}/.staged-{uuid.uuid4().hex}"
+        log = rows.select(F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"), "seq", "ord")
+        # A sequence number is in one range; the ranges follow each other.
+        made = log.repartitionByRange("seq").sortWithinPartitions("seq", "ord").mapInArrow(segments, "first string, data binary")
+        try:
+            # A row is a file. The line feed that the writer puts after it is shorter than a record's head, so no reader takes it for one.
+            with shuffles_dropped(spark):
+                made.select("first", F.col("data").cast("string").alias("value")).write.option("compression", "none").option("lineSep", "\n").partitionBy("first").text(staged)
+            names = [n for n in self.fs.names(staged) if n.startswith("first=")]
+            taken = set(self.fs.names(self.folder))
+            if any(f"{n[6:]}.log" in taken for n in names):
+                return False
+            for n in names:
+                [(path, _)] = self.fs.files(f"{staged}/{n}", ".txt")
+                if not self.fs.publish(path, f"{self.folder}/{n[6:]}.log"):
+                    raise RuntimeError(f"another writer has written segment {n[6:]} meanwhile; those before it are in the log")
+            return True
+        finally:
+            self.fs.delete(staged)
+
     def replay(self, after: int = 0) -> list[tuple[int, list[Entry]]]:
         """Batches with a sequence number above ``after``, in order; each segment up to its first damaged record."""
         out = []

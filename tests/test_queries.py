@@ -79,3 +79,9 @@ def test_a_manifest_of_many_runs_is_pruned_by_the_executors(spark, sent):
     kept = QUERIES["run_prune"](spark, "/root/testdata/sf0.01")
     assert sent[0] <= 10  # of 60 runs
     assert kept.count() == 12
+
+
+def test_a_large_log_is_written_by_the_executors(spark, sent):
+    log = QUERIES["wal_replay"](spark, "/root/testdata/sf0.01")
+    assert sent[0] <= 10  # of 10,000 rows
+    assert [r["seq"] for r in log.select("seq").collect()] == list(range(10_000))
